@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factlake.llm import packing, sentencepiece_codec
+from factlake.llm import language_id, packing, sentencepiece_codec, simhash, toxicity
 from factlake.llm.common import table
 
 
@@ -21,6 +21,18 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.encode_digest(docs, tokenizer_path("piece_bpe_32k.model"))
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.dedup(table(spark, sf_dir, "documents"))
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(spark, sf_dir, "documents"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     pieces = packing.tokenise(docs, tokenizer_path("byte_bpe_50k.json"), capacity=1024)
@@ -28,7 +40,7 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_sentencepiece, op5_packing)}
+    return {f.__name__: f for f in (op2_sentencepiece, op3_simhash, op4_toxicity, op5_packing, op9_language)}
 
 
 def oracle_sql() -> dict[str, str]:
