@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factlake.llm import language_id, packing, sentencepiece_codec, simhash, toxicity
+from factlake.llm import embedding_dedup, language_id, packing, sentencepiece_codec, simhash, toxicity, warc
 from factlake.llm.common import table
 
 
@@ -33,6 +33,14 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"))
 
 
+def op7_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.dedup(table(spark, sf_dir, "embeddings"), threshold=0.95)
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages")).drop("url", "body")
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     pieces = packing.tokenise(docs, tokenizer_path("byte_bpe_50k.json"), capacity=1024)
@@ -40,8 +48,17 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_sentencepiece, op3_simhash, op4_toxicity, op5_packing, op9_language)}
+    return {f.__name__: f for f in (op2_sentencepiece, op3_simhash, op4_toxicity, op5_packing, op7_embeddings, op8_warc, op9_language)}
+
+
+#: The contract of op8 in DuckDB's SQL; payloads are compared whole there.
+OP8_SQL = """
+SELECT page_id, octet_length(encode(p)) AS payload_bytes, sha256(p) AS payload_digest,
+  CASE WHEN octet_length(encode(p)) >= 100 AND page_id > m THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN octet_length(encode(p)) >= 100 AND page_id > m THEN m END AS refers_to
+FROM (SELECT page_id, p, min(page_id) OVER (PARTITION BY p) AS m FROM (SELECT page_id, coalesce(html, '') AS p FROM pages))
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_warc": OP8_SQL}
