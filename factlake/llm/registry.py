@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factlake.llm import embedding_dedup, language_id, packing, sentencepiece_codec, simhash, toxicity, warc
+from factlake.llm import embedding_dedup, language_id, masked_lm, packing, quality, sentencepiece_codec, simhash, toxicity, warc
 from factlake.llm.common import table
 
 
@@ -33,6 +33,14 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op10_masked_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return masked_lm.pseudo_likelihood(table(spark, sf_dir, "documents"))
+
+
 def op7_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.dedup(table(spark, sf_dir, "embeddings"), threshold=0.95)
 
@@ -48,7 +56,7 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_sentencepiece, op3_simhash, op4_toxicity, op5_packing, op7_embeddings, op8_warc, op9_language)}
+    return {f.__name__: f for f in (op2_sentencepiece, op3_simhash, op4_toxicity, op5_packing, op6_quality, op7_embeddings, op8_warc, op9_language, op10_masked_lm)}
 
 
 #: The contract of op8 in DuckDB's SQL; payloads are compared whole there.
