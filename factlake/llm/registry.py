@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factlake.llm import embedding_dedup, language_id, masked_lm, packing, quality, sentencepiece_codec, simhash, toxicity, warc
+from factlake.llm import embedding_dedup, language_id, masked_lm, packing, quality, sentencepiece_codec, simhash, suffix_dedup, toxicity, warc
 from factlake.llm.common import table
 
 
@@ -16,6 +16,10 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return sentencepiece_codec.encode_digest(docs, tokenizer_path("piece_bpe_32k.model"))
@@ -56,7 +60,7 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_sentencepiece, op3_simhash, op4_toxicity, op5_packing, op6_quality, op7_embeddings, op8_warc, op9_language, op10_masked_lm)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_sentencepiece, op3_simhash, op4_toxicity, op5_packing, op6_quality, op7_embeddings, op8_warc, op9_language, op10_masked_lm)}
 
 
 #: The contract of op8 in DuckDB's SQL; payloads are compared whole there.
