@@ -198,3 +198,17 @@ def dedup(df: DataFrame, *, shingle: int = 3, bits: int = 2, doc: str = "doc_id"
     prints = checkpoint(fingerprints(df, shingle=shingle, text=text, keep=(doc,)))
     found = components(prints, doc=doc, bits=bits)
     return prints.join(found, "fp").select(doc, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, *, shingle: int = 3, bits: int = 2, doc: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` with the smallest id of their component, all columns unchanged.
+
+    Of rows that share that id the one of the least text hash stays, and of identical
+    ones one; a null id counts as the largest.
+    """
+    largest = F.lit((1 << 63) - 1)
+    key = docs.withColumn("__o", F.coalesce(F.col(doc).cast("long"), largest)).withColumn("__t", F.xxhash64(F.col(text)))
+    prints = checkpoint(fingerprints(key.select("__o", "__t", F.col(text).alias("__text")), shingle=shingle, text="__text", keep=("__o", "__t")))
+    found = components(prints, doc="__o", bits=bits)
+    first = prints.join(found, "fp").groupBy("component_id").agg(F.min(F.struct("__o", "__t")).alias("f")).select("f.__o", "f.__t")
+    return key.join(first, ["__o", "__t"], "left_semi").dropDuplicates(["__o", "__t"]).select(*docs.columns)

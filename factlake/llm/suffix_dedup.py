@@ -306,9 +306,10 @@ def remove(docs: DataFrame, *, length: int = LENGTH, doc: str = "doc_id", text:
     Characters that a cut splits go whole. Other columns are unchanged.
     """
     whole = docs.withColumn("__d", F.coalesce(F.col(doc).cast("long"), F.lit(NO_ID))).withColumn("__k", F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit(""))))
-    spans = repeated_spans(keyed(docs, doc, text), length=length, most=most).groupBy("d", "k").agg(F.collect_set(F.struct("s", "e")).alias("__spans"))
-    rows = whole.join(spans, (F.col("__d") == F.col("d")) & (F.col("__k") == F.col("k")), "left").select(*docs.columns, "__spans")
-    at = docs.columns.index(text)
+    spans = repeated_spans(keyed(docs, doc, text), length=length, most=most).groupBy(F.col("d").alias("__d"), F.col("k").alias("__k")).agg(F.collect_set(F.struct("s", "e")).alias("__spans"))
+    rows = whole.join(spans, ["__d", "__k"], "left").select(*docs.columns, "__spans")
+    names = docs.columns
+    at = names.index(text)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -316,6 +317,6 @@ def remove(docs: DataFrame, *, length: int = LENGTH, doc: str = "doc_id", text:
             for t, spans in zip(b.column(at).to_pylist(), b.column(b.num_columns - 1).to_pylist(), strict=True):
                 out.append(kept_bytes(t.encode(), merged(spans)).decode(errors="ignore") if t and spans else t)
             columns = [pa.array(out, pa.string()) if i == at else b.column(i) for i in range(b.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays(columns, names=docs.columns)
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return rows.mapInArrow(cut, T.StructType([T.StructField(f.name, f.dataType) for f in docs.schema]))
