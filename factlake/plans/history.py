@@ -204,9 +204,9 @@ def join_semi_provenance(v: View) -> DataFrame:
     return v.table("lineitem").select("l_orderkey", "l_linenumber").join(o, "l_orderkey", "left_semi")
 
 
-@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT')")
 def join_anti_unused(v: View) -> DataFrame:
-    o = v.table("orders").select(F.col("o_custkey").alias("c_custkey"))
+    o = v.table("orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey"))
     return v.table("customer").select("c_custkey").join(o, "c_custkey", "left_anti")
 
 
