@@ -18,7 +18,8 @@ def _pieces(contexts: DataFrame, context: str, pattern: str) -> DataFrame:
     marks = F.regexp_extract_all(c, F.lit(pattern), F.lit(0))
     parts = F.split(c, pattern)
     keep = [x for x in contexts.columns if x != context]
-    rows = contexts.select(*keep, marks.alias("__m"), parts.alias("__p"), F.posexplode(numbers).alias("context_order", "__n"))
+    cut = contexts.select(*keep, marks.alias("__m"), parts.alias("__p"), numbers.alias("__all"))  # once a document
+    rows = cut.select(*keep, "__m", "__p", F.posexplode("__all").alias("context_order", "__n"))
     before = F.aggregate(F.slice("__p", 1, F.col("context_order") + 1), F.lit(0), lambda a, x: a + F.length(x))
     marked = F.when(F.col("context_order") > 0, F.aggregate(F.slice("__m", 1, F.greatest(F.col("context_order"), F.lit(1))), F.lit(0), lambda a, x: a + F.length(x))).otherwise(0)
     return rows.select(*keep, F.col("__n").cast("long").alias("serial"), "context_order", (before + marked).alias("offset"), fact_text(F.get("__p", F.col("context_order") + 1)).alias("text"))

@@ -17,7 +17,9 @@ K1, B, FLOOR = 1.5, 0.75, 0.25
 
 def postings(docs: DataFrame, doc: str, text: str) -> DataFrame:
     """(term, doc, tf, dl): the index, aggregated per document before any join."""
-    words = docs.select(doc, F.size(tokens(F.col(text))).alias("dl"), F.explode(tokens(F.col(text))).alias("term"))
+    # tokens and their number come below the explode, or they are computed for every token again
+    own = docs.select(doc, tokens(F.col(text)).alias("__t")).withColumn("dl", F.size("__t"))
+    words = own.select(doc, "dl", F.explode("__t").alias("term"))
     return words.groupBy("term", doc, "dl").agg(F.count("*").alias("tf"))
 
 
