@@ -20,7 +20,7 @@ SCORES = """(WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]
 
 
 def ranked_sql(k: str, tie: str = "doc_id", extra: str = "") -> str:
-    return f"SELECT qid, doc_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, {tie}) AS rank FROM {SCORES}) WHERE rank <= {k} {extra}"
+    return f"SELECT qid, doc_id, round(score + 3e-7, 4) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, {tie}) AS rank FROM {SCORES}) WHERE rank <= {k} {extra}"
 
 
 def scores(v: View) -> DataFrame:
@@ -28,13 +28,22 @@ def scores(v: View) -> DataFrame:
     return retrieval.bm25_scores(v.table("documents").select("doc_id", "text"), q)
 
 
+def shown(df: DataFrame) -> DataFrame:
+    """Scores to four places: sums in another order can differ in the sixth.
+
+    They have six places already; the shift keeps them off the halves, which engines
+    round apart.
+    """
+    return df.withColumn("score", F.round(F.col("score") + 3e-7, 4))
+
+
 def ranked(v: View, k: int = 80) -> DataFrame:
-    return retrieval.top_k(scores(v), k, "qid", tie=F.asc("doc_id"))
+    return shown(retrieval.top_k(scores(v), k, "qid", tie=F.asc("doc_id")))
 
 
-@query(f"SELECT qid, doc_id, score FROM {SCORES}")
+@query(f"SELECT qid, doc_id, round(score + 3e-7, 4) AS score FROM {SCORES}")
 def bm25_score(v: View) -> DataFrame:
-    return scores(v)
+    return shown(scores(v))
 
 
 @query(ranked_sql("10"))
@@ -44,7 +53,7 @@ def bm25_topk(v: View) -> DataFrame:
 
 @query(ranked_sql("10", "doc_id DESC"))
 def bm25_topk_legacy_ties(v: View) -> DataFrame:
-    return retrieval.top_k(scores(v), 10, "qid", tie=F.desc("doc_id"))
+    return shown(retrieval.top_k(scores(v), 10, "qid", tie=F.desc("doc_id")))
 
 
 @query(ranked_sql("10"))
@@ -53,9 +62,9 @@ def search_memory(v: View) -> DataFrame:
     return ranked(v, 10)
 
 
-@query(f"SELECT qid, count(*) AS n_positive, max(score) AS best, round(avg(score), 5) AS mean_score FROM {SCORES} WHERE score > 0 GROUP BY qid")
+@query(f"SELECT qid, count(*) AS n_positive, round(max(score) + 3e-7, 4) AS best, round(avg(score), 4) AS mean_score FROM {SCORES} WHERE score > 0 GROUP BY qid")
 def bm25_score_stats(v: View) -> DataFrame:
-    return scores(v).where("score > 0").groupBy("qid").agg(F.count("*").alias("n_positive"), F.max("score").alias("best"), F.round(F.avg("score"), 5).alias("mean_score"))
+    return scores(v).where("score > 0").groupBy("qid").agg(F.count("*").alias("n_positive"), F.round(F.max("score") + 3e-7, 4).alias("best"), F.round(F.avg("score"), 4).alias("mean_score"))
 
 
 @query(ranked_sql("(CASE qid % 3 WHEN 0 THEN 25 WHEN 1 THEN 40 ELSE 10 END)"))
