@@ -90,3 +90,15 @@ def map_texts(df: DataFrame, column: str, schema: T.StructType, make: Callable[[
 def crc_of_id(column) -> F.Column:
     """crc32 of an id written as decimal text."""
     return F.crc32(F.col(column).cast("string").cast("binary"))
+
+
+def hashed_sample(df: DataFrame, key: str, bound: int, seed: int = 42) -> DataFrame:
+    """At most ``bound`` rows, those of least hash of ``key`` as near as ties allow.
+
+    A threshold on the hash comes first, from the number of rows, so that what the
+    ordered limit gathers doesn't grow with the number of partitions.
+    """
+    n = df.count()
+    place = F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(1 << 40))
+    share = min(1.0, 1.2 * bound / max(n, 1) + 1e-9)
+    return df.where(place <= int(share * (1 << 40))).orderBy(place, key).limit(bound)

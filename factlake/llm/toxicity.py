@@ -19,11 +19,12 @@ import zlib
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from factlake.llm.common import crc_of_id, map_texts
+from factlake.llm.common import checkpoint, crc_of_id, hashed_sample, map_texts
 
 BITS = 20
 #: Labelled rows that are learned from, at most (a sample by hash of the id).
@@ -67,27 +68,35 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(out, -30, 30)))
 
 
-def train(rows: list[np.ndarray], labels: np.ndarray, *, epochs: int = 12, rate: float = 0.15, shrink: float = 2e-4, batch: int = 256, seed: int = 7) -> Machine:
-    """Fits a machine to rows of distinct buckets with labels 0 and 1."""
+def choose(buckets_: np.ndarray, seen: np.ndarray, toxic: np.ndarray, n: int, p: float) -> np.ndarray:
+    """At most ``FEATURES`` of the buckets, those of largest chi-square against the label."""
+    if not 0 < p < 1:
+        return buckets_[:0]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        chi = np.where((seen >= LEAST_TEXTS) & (seen < n), (toxic - seen * p) ** 2 / (seen * p * (1 - p) * (1 - seen / n)), 0)
+    best = np.lexsort((buckets_, -chi))[:FEATURES]
+    return np.sort(buckets_[best[chi[best] > 3.84]])
+
+
+def train(rows: list[np.ndarray], labels: np.ndarray, chosen: np.ndarray | None = None, *, epochs: int = 12, rate: float = 0.15, shrink: float = 2e-4, batch: int = 256, seed: int = 7, positive: float = 3.0) -> Machine:
+    """Fits a machine to rows of distinct buckets with labels 0 and 1.
+
+    Rows of label 1 weigh ``positive`` times as much, so that one telling term is enough.
+    """
     share = float(labels.mean()) if len(labels) else 0.5
     slots = np.full(1 << BITS, -1, np.int32)
     if len(labels) == 0 or share in (0.0, 1.0):
         share = min(max(share, 1e-3), 1 - 1e-3)
         return Machine(float(np.log(share / (1 - share))), slots, np.zeros(1), np.zeros((1, RANK)))
-    flat, sizes = np.concatenate(rows), np.array([len(r) for r in rows])
-    seen = np.bincount(flat, minlength=1 << BITS)
-    toxic = np.bincount(flat, np.repeat(labels, sizes), minlength=1 << BITS)
     n, p = len(rows), share
-    with np.errstate(divide="ignore", invalid="ignore"):
-        chi = np.where((seen >= LEAST_TEXTS) & (seen < n), (toxic - seen * p) ** 2 / (seen * p * (1 - p) * (1 - seen / n)), 0)
-    chosen = np.sort(np.argsort(-chi, kind="stable")[:FEATURES])
-    chosen = chosen[chi[chosen] > 3.84]
+    if chosen is None:
+        flat = np.concatenate(rows)
+        every = np.unique(flat)
+        chosen = choose(every, *(np.bincount(flat, w, 1 << BITS)[every] for w in (None, np.repeat(labels, [len(r) for r in rows]))), n, p)
     slots[chosen] = np.arange(len(chosen))
-    mapped = slots[flat]
-    keep = mapped >= 0
-    owner = np.repeat(np.arange(n), sizes)[keep]
-    mapped = mapped[keep]
-    first = np.searchsorted(owner, np.arange(n + 1))
+    kept = [m[m >= 0] for m in (slots[r] for r in rows)]
+    mapped = np.concatenate(kept)
+    first = np.cumsum([0, *map(len, kept)])
     rng = np.random.default_rng(seed)
     k = max(1, len(chosen))
     bias, w, v = float(np.log(p / (1 - p))), np.zeros(k), rng.normal(0, 0.01, (k, RANK))
@@ -102,7 +111,7 @@ def train(rows: list[np.ndarray], labels: np.ndarray, *, epochs: int = 12, rate:
             vf = v[f]
             sums = np.stack([np.bincount(r, vf[:, j], len(some)) for j in range(RANK)], axis=1)
             z = bias + np.bincount(r, w[f], len(some)) + 0.5 * ((sums**2).sum(1) - np.bincount(r, (vf * vf).sum(1), len(some)))
-            g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels[some]) / len(some)
+            g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels[some]) * np.where(labels[some] == 1, positive, 1.0) / len(some)
             gr = g[r]
             dw = np.bincount(f, gr, k)
             dv = np.stack([np.bincount(f, gr * (sums[r, j] - vf[:, j]), k) for j in range(RANK)], axis=1)
@@ -116,20 +125,38 @@ def train(rows: list[np.ndarray], labels: np.ndarray, *, epochs: int = 12, rate:
     return Machine(bias, slots, w, v)
 
 
-def sample_rows(docs: DataFrame, labels: DataFrame, *, doc: str, text: str, label: str, train_on, bound: int) -> tuple[list[np.ndarray], np.ndarray]:
-    """Distinct buckets and labels of at most ``bound`` labelled rows, those of least hash."""
-    own = labels.select(F.col(doc), F.col(label).alias("__y")).where(F.col("__y").isin(0, 1)).where(train_on(doc))
-    own = own.groupBy(doc).agg(F.max("__y").alias("__y")).orderBy(F.xxhash64(doc), doc).limit(bound)
+def sample_rows(docs: DataFrame, labels: DataFrame, *, doc: str, text: str, label: str, train_on, bound: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """Chosen buckets of each of at most ``bound`` labelled rows, their labels, and the choice.
+
+    Buckets are counted and chosen before rows come to the driver: it gets one count for
+    each bucket (``2**BITS`` at most) and the few chosen ones of each row.
+    """
+    own = labels.select(F.col(doc), F.col(label).cast("int").alias("__y")).where(F.col("__y").isin(0, 1)).where(train_on(doc))
+    own = hashed_sample(own.groupBy(doc).agg(F.max("__y").alias("__y")), doc, bound)
     rows = own.join(docs.select(F.col(doc), F.col(text).alias("__t")).where(train_on(doc)), doc)
 
     def make():
         return lambda texts: {"__terms": [list(terms(t)) for t in texts]}
 
-    got = map_texts(rows, "__t", T.StructType([T.StructField("__terms", T.ArrayType(T.IntegerType()))]), make, (doc, "__y"))
-    got = got.orderBy(doc).limit(bound).toArrow()
-    lists = got["__terms"].combine_chunks()
-    offsets, values = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
-    return [values[a:b] for a, b in zip(offsets[:-1], offsets[1:])], got["__y"].to_numpy().astype(float)
+    schema = T.StructType([T.StructField("__terms", T.ArrayType(T.IntegerType()))])
+    got = checkpoint(map_texts(rows, "__t", schema, make, (doc, "__y")))
+    n, toxic = got.agg(F.count("*"), F.coalesce(F.sum("__y"), F.lit(0))).first()
+    counts = got.select("__y", F.explode("__terms").alias("b")).groupBy("b").agg(F.count("*").alias("n"), F.sum("__y").alias("y")).where(F.col("n") >= LEAST_TEXTS).toArrow()
+    chosen = choose(*(counts[c].to_numpy().astype(t) for c, t in (("b", np.int64), ("n", float), ("y", float))), n, toxic / max(n, 1))
+    known = np.zeros(1 << BITS, bool)
+    known[chosen] = True
+
+    def keep(batches):
+        for batch in batches:
+            y, lists = batch.column(0), batch.column(1)
+            offsets, values = lists.offsets.to_numpy(), lists.flatten().to_numpy(zero_copy_only=False)
+            hit = known[values]
+            ends = np.concatenate([[0], np.cumsum(hit)])[offsets - offsets[0]]
+            yield pa.RecordBatch.from_arrays([y, pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(values[hit], pa.int32()))], names=["y", "f"])
+
+    # in the order of the ids, so that training takes the same steps each time
+    small = got.orderBy(doc, F.xxhash64("__terms")).select("__y", "__terms").mapInArrow(keep, "y int, f array<int>").collect()
+    return [np.array(r.f, np.int64) for r in small], np.array([r.y for r in small], float), chosen
 
 
 def score(docs: DataFrame, machine: Machine, *, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
