@@ -14,18 +14,24 @@ import numpy as np
 
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
-_powers = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
+#: Powers that a worker keeps between calls, at most; longer texts compute their own.
+KEPT_POWERS = 5 << 18
+_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> list[np.ndarray]:
     """BASE**i and BASE**-i modulo 2**64 for i < n at least."""
-    if len(_powers["up"]) < n:
-        size = 1 << (n - 1).bit_length()
-        for name, base in (("up", BASE), ("down", INVERSE)):
-            x = np.full(size, base, np.uint64)
-            x[0] = 1
-            _powers[name] = np.multiply.accumulate(x)
-    return _powers["up"], _powers["down"]
+    global _powers
+    if len(_powers[0]) >= n:
+        return _powers
+    out = []
+    for base in (BASE, INVERSE):
+        x = np.full(max(n, min(KEPT_POWERS, -(-n // (1 << 18)) << 18)), base, np.uint64)
+        x[0] = 1
+        out.append(np.multiply.accumulate(x))
+    if n <= KEPT_POWERS:
+        _powers = out
+    return out
 
 
 class Prefix:
