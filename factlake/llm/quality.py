@@ -4,10 +4,11 @@ Base measures come from each whole text. On top of a fixed base rule, every rule
 "reject if the measure exceeds its cutoff" gets its cutoff per stratum from labelled
 rows: among candidate cutoffs (quantiles of the measure over all documents) the
 lowest is taken of which an exact binomial test shows, at a level corrected for the
-number of tests (Bonferroni), that it rejects less than ``risk`` of the good rows. A
-stratum with too few labelled rows to show anything keeps the base rule alone. All
-rules together then reject at most ``risk * len(RULES)`` of the good rows of a
-stratum, at confidence ``1 - error``.
+number of tests (Bonferroni), that it rejects less than ``risk`` of the good rows.
+Strata with too few labelled rows to show anything alone are pooled and get common
+cutoffs; only if the pool has too few as well they keep the base rule alone. All rules
+together then reject at most ``risk * len(RULES)`` of the good rows of a stratum, or of
+the pool as a whole, at confidence ``1 - error``.
 
 Defined cases: null and empty texts have no words and fail the base rule; a null
 stratum is a stratum of its own; labels other than 0 and 1 are ignored, a document
@@ -27,7 +28,7 @@ WORD = r"[^\x20\x09-\x0D]"
 RISK, ERROR = 0.002, 0.05
 #: Quantiles, over all documents, at which cutoffs are tried.
 GRID = (0.8, 0.9, 0.95, 0.98, 0.99, 0.995, 0.999)
-#: Strata with cutoffs of their own, those with most labelled rows.
+#: Strata with cutoffs of their own at most, those with most labelled rows; the others are pooled.
 MOST_STRATA = 64
 #: Measures that are rejected above a cutoff.
 RULES = {
@@ -91,23 +92,40 @@ def log_binomial_tail(n: Column, k: Column, p: float) -> Column:
     return F.when(k < n * p, F.aggregate(steps, first, step, lambda a: a["t"] + F.ln(a["s"]))).otherwise(F.lit(0.0))
 
 
-def cutoffs(measured: DataFrame, labels: DataFrame, *, doc: str, stratum: str, label: str, risk: float, error: float) -> DataFrame:
-    """(stratum, cutoff of each rule or null): at most ``MOST_STRATA`` rows."""
+def alone(sizes: list[int], risk: float, error: float) -> int:
+    """How many strata, of falling ``sizes``, can show a rule that rejects nothing, next to the pool."""
+    from math import log
+
+    def enough(n: int, groups: int) -> bool:
+        return n * log(1 - risk) <= log(error / (len(RULES) * len(GRID) * groups))
+
+    return max((i for i, n in enumerate(sizes, 1) if enough(n, i + 1)), default=0)
+
+
+def group(stratum: str, names: list[str]) -> Column:
+    """The stratum where it has cutoffs of its own, null in the pool."""
+    return F.when(F.col(stratum).isin(names), F.col(stratum)) if names else F.lit(None).cast("string")
+
+
+def cutoffs(measured: DataFrame, labels: DataFrame, *, doc: str, stratum: str, label: str, risk: float, error: float) -> tuple[list[str], DataFrame]:
+    """The strata of their own, and (stratum or null for the pool, cutoff of each rule or null): ``MOST_STRATA`` rows and one at most."""
     from math import log
 
     grid = measured.agg(*[F.percentile_approx(f"r_{r}", list(GRID), 10000).alias(f"g_{r}") for r in RULES])
     own = labels.where(F.col(label).isin(0, 1)).groupBy(F.col(doc).alias("__d")).agg(F.min(label).alias("__y")).where("__y = 1")
     good = measured.where(~F.col("base_failed")).join(own, measured[doc] == F.col("__d"), "left_semi")
+    sizes = good.groupBy(stratum).agg(F.count("*").alias("n")).orderBy(F.desc("n"), stratum).limit(MOST_STRATA).collect()
+    names = [r[0] for r in sizes[: alone([r[1] for r in sizes], risk, error)]]
     tried = good.crossJoin(F.broadcast(grid))  # one row, so no product
     over = [F.sum((F.col(f"r_{r}") > F.get(f"g_{r}", F.lit(i))).cast("long")).alias(f"k_{r}_{i}") for r in RULES for i in range(len(GRID))]
     first = [F.first(f"g_{r}").alias(f"g_{r}") for r in RULES]
-    counted = tried.groupBy(stratum).agg(F.count("*").alias("n"), *over, *first).orderBy(F.desc("n"), stratum).limit(MOST_STRATA)
-    tests = len(RULES) * len(GRID) * MOST_STRATA
+    counted = tried.groupBy(group(stratum, names).alias("__stratum")).agg(F.count("*").alias("n"), *over, *first)
+    tests = len(RULES) * len(GRID) * (len(names) + 1)
     chosen = []
     for r in RULES:
         safe = [F.when(log_binomial_tail(F.col("n"), F.col(f"k_{r}_{i}"), risk) <= log(error / tests), F.get(f"g_{r}", F.lit(i))) for i in range(len(GRID))]
         chosen.append(F.least(*safe).alias(f"c_{r}"))
-    return counted.select(F.col(stratum).alias("__stratum"), *chosen)
+    return names, counted.select("__stratum", *chosen)
 
 
 def judge(docs: DataFrame, labels: DataFrame, *, doc: str = "doc_id", text: str = "text", stratum: str = "lang", label: str = "quality", risk: float = RISK, error: float = ERROR) -> DataFrame:
@@ -117,8 +135,8 @@ def judge(docs: DataFrame, labels: DataFrame, *, doc: str = "doc_id", text: str
     m = measures(own, text="__text").select(doc, "__lang", *names)
     m = m.withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
     m = checkpoint(m.select("*", *[F.expr(e).cast("double").alias(f"r_{r}") for r, e in RULES.items()]))
-    limits = cutoffs(m, labels, doc=doc, stratum="__lang", label=label, risk=risk, error=error)
-    found = m.join(F.broadcast(limits), m["__lang"] == limits["__stratum"], "left")  # MOST_STRATA rows at most
+    own_strata, limits = cutoffs(m, labels, doc=doc, stratum="__lang", label=label, risk=risk, error=error)
+    found = m.withColumn("__group", group("__lang", own_strata)).join(F.broadcast(limits), F.col("__group").eqNullSafe(F.col("__stratum")), "left")  # MOST_STRATA + 1 rows at most
     rejected = F.lit(False)
     for r in RULES:
         rejected = rejected | F.coalesce(F.col(f"r_{r}") > F.col(f"c_{r}"), F.lit(False))
