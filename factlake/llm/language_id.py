@@ -27,8 +27,8 @@ from factlake.llm.common import crc_of_id, map_texts
 
 #: Labelled rows a language that are learned from, about (a sample by hash of the id).
 TRAIN_ROWS = 3000
-#: Languages learned at most, those with most rows; bounds the tables.
-MOST_LANGUAGES = 64
+#: Languages whose tables are held at once; of more, each table is laid out when it is scored.
+MOST_TABLES = 64
 UNIT = 4096  # steps a bit
 LETTER = re.compile(r"[^\W\d_]")
 START = 0xFF  # never occurs in UTF-8
@@ -39,7 +39,11 @@ class Model:
     languages: list[str]
     alphabet: np.ndarray  # byte -> symbol; 0 is the start mark
     size: int
-    tables: np.ndarray  # language, (context of two symbols, symbol) -> code length
+    counts: dict[str, tuple[np.ndarray, np.ndarray]]
+    tables: np.ndarray | None  # language, (context of two symbols, symbol) -> code length; None for too many
+
+    def table(self, name: str) -> np.ndarray:
+        return table(*self.counts[name], self.alphabet, self.size)
 
     def lengths(self, texts: list[bytes]) -> np.ndarray:
         """Code lengths (texts x languages) in 1/UNIT bits."""
@@ -49,7 +53,7 @@ class Model:
         s = self.alphabet[data]
         index = np.zeros(len(s), np.int32)
         index[2:] = (s[:-2] * self.size + s[1:-1]) * self.size + s[2:]
-        return np.stack([np.add.reduceat(t[index], starts, dtype=np.int64) for t in self.tables], axis=1)
+        return np.stack([np.add.reduceat(t[index], starts, dtype=np.int64) for t in (map(self.table, self.languages) if self.tables is None else self.tables)], axis=1)
 
 
 def trigrams(data: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -66,23 +70,26 @@ def build(counts: dict[str, tuple[np.ndarray, np.ndarray]]) -> Model:
     alphabet[used] = np.arange(1, len(used) + 1)
     alphabet[START] = 0
     size = len(used) + 2
-    tables = []
-    for name in languages:
-        keys, n = counts[name]
-        c2 = np.zeros((size, size, size))
-        np.add.at(c2, (alphabet[keys >> 16], alphabet[keys >> 8 & 255], alphabet[keys & 255]), n)
-        c1 = c2.sum(axis=0)
-        c0 = c1.sum(axis=0)
-        p = np.full(size, 1 / 256)
-        p[0], p[-1] = 0, (256 - len(used)) / 256  # the start mark is never coded
-        p = escape(c0, p)
-        p = escape(c1, np.broadcast_to(p, c1.shape))
-        p = escape(c2, np.broadcast_to(p, c2.shape))
-        with np.errstate(divide="ignore"):
-            bits = np.where(p > 0, -np.log2(p), 0)
-        bits[..., 0] = 0
-        tables.append(np.round(bits * UNIT).astype(np.int32).ravel())
-    return Model(languages, alphabet, size, np.array(tables, np.int32).reshape(len(languages), size**3))
+    if len(languages) > MOST_TABLES:
+        return Model(languages, alphabet, size, counts, None)
+    tables = [table(*counts[name], alphabet, size) for name in languages]
+    return Model(languages, alphabet, size, {}, np.array(tables, np.int32).reshape(len(languages), size**3))
+
+
+def table(keys: np.ndarray, n: np.ndarray, alphabet: np.ndarray, size: int) -> np.ndarray:
+    c2 = np.zeros((size, size, size))
+    np.add.at(c2, (alphabet[keys >> 16], alphabet[keys >> 8 & 255], alphabet[keys & 255]), n)
+    c1 = c2.sum(axis=0)
+    c0 = c1.sum(axis=0)
+    p = np.full(size, 1 / 256)
+    p[0], p[-1] = 0, (256 - (size - 2)) / 256  # the start mark is never coded
+    p = escape(c0, p)
+    p = escape(c1, np.broadcast_to(p, c1.shape))
+    p = escape(c2, np.broadcast_to(p, c2.shape))
+    with np.errstate(divide="ignore"):
+        bits = np.where(p > 0, -np.log2(p), 0)
+    bits[..., 0] = 0
+    return np.round(bits * UNIT).astype(np.int32).ravel()
 
 
 def escape(counts: np.ndarray, lower: np.ndarray) -> np.ndarray:
@@ -101,13 +108,9 @@ def learn(docs: DataFrame, *, doc: str, text: str, lang: str, train_on, bound: i
     """Counts trigrams on about ``bound`` rows of each language and freezes them."""
     own = docs.where(train_on(doc) & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(doc).alias("__d"), F.col(text).alias("__t"), F.col(lang).cast("string").alias("__l"))
     sizes = docs.where(train_on(doc) & F.col(lang).isNotNull() & F.col(text).isNotNull()).groupBy(F.col(lang).cast("string").alias("l")).count()
-    sizes = sizes.orderBy(F.desc("count"), "l").limit(MOST_LANGUAGES).collect()
-    if not sizes:
-        return build({})
-    share = F.lit(0.0)
-    for l, n in sizes:
-        share = F.when(F.col("__l") == l, float(min(1.0, bound / n))).otherwise(share)
-    part = own.where((F.pmod(F.xxhash64("__d", F.lit(9)), F.lit(1 << 30)) / float(1 << 30)) < share)
+    sizes = sizes.select("l", F.least(F.lit(1.0), bound / F.col("count")).alias("share"))
+    place = F.pmod(F.xxhash64("__d", F.lit(9)), F.lit(1 << 30)) / float(1 << 30)
+    part = own.join(F.broadcast(sizes), own["__l"] == sizes["l"]).where(place < F.col("share"))  # one short row a language
 
     def count(batches):
         for b in batches:
@@ -118,11 +121,10 @@ def learn(docs: DataFrame, *, doc: str, text: str, lang: str, train_on, bound: i
 
     got = part.select("__t", "__l").mapInArrow(count, "l string, k long, n long").groupBy("l", "k").agg(F.sum("n").alias("n")).toArrow()
     names, keys, n = got["l"].to_pylist(), got["k"].to_numpy(), got["n"].to_numpy()
-    out = {}
-    for l in sorted(set(names)):
-        at = np.array([i for i, x in enumerate(names) if x == l], np.int64)
-        out[l] = (keys[at], n[at])
-    return build(out)
+    rows: dict[str, list[int]] = {}
+    for i, l in enumerate(names):
+        rows.setdefault(l, []).append(i)
+    return build({l: (keys[at], n[at]) for l, at in rows.items()})
 
 
 def trigrams_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
