@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -12,6 +12,10 @@ from pyspark.sql import types as T
 
 #: Bytes of text handled at once inside an Arrow batch; bounds the numpy temporaries.
 SLICE_BYTES = 1 << 20
+#: Bytes of an Arrow batch that goes to a Python worker, about; one row at least.
+BATCH_BYTES = 4 << 20
+#: Rows of one join key beyond which it is dealt out, at least; else a thousandth of all rows.
+HOT_ROWS = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,16 +23,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared(spark: SparkSession) -> None:
-    """Sees to it that ``checkpoint()`` has a folder.
+    """Sees to it that ``checkpoint()`` has a folder, and that Arrow batches are bounded by bytes.
 
-    A cluster names one in ``spark.checkpoint.dir``; only where that is unset, as
-    in tests on one machine, a temporary folder is made.
+    A cluster names the folder in ``spark.checkpoint.dir``; only where that is unset, as
+    in tests on one machine, one below the warehouse is taken, which executors share too.
     """
+    bounded(spark)
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isDefined():
         return
     named = spark.conf.get("spark.checkpoint.dir", None)
-    context.setCheckpointDir(named or tempfile.mkdtemp(prefix="factlake-checkpoint-"))
+    context.setCheckpointDir(named or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/checkpoints")
+
+
+def bounded(spark: SparkSession) -> None:
+    """Limits Arrow batches of this session by bytes too, unless it is set already: rows alone say nothing of texts."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key).startswith(str(64 << 20)):  # the default
+        spark.conf.set(key, str(BATCH_BYTES))
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
@@ -37,6 +49,40 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Writes ``df`` as Parquet below the shared checkpoint folder and reads it again."""
+    spark = df.sparkSession
+    shared(spark)
+    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes tables of ``stored`` that nothing reads any more."""
+    for t in tables:
+        path = t.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(t._stored_at)
+        path.getFileSystem(t.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def dealt_join(left: DataFrame, right: DataFrame, keys: list[str], weight: str, total: int, spread: tuple[str, ...]) -> DataFrame:
+    """Inner join of ``left`` with ``right``, which has one row a key and the key's number of rows in ``weight``.
+
+    Keys with over ``HOT_ROWS`` rows, and over a thousandth of ``total``, are dealt out by a
+    hash of the columns ``spread``, so that no key gathers in one task: at most a thousand
+    keys, whose broadcast is bounded by that.
+    """
+    most = max(HOT_ROWS, total // 1000)
+    parts = F.ceil(F.col(weight) / most).cast("int")
+    hot = right.where(F.col(weight) > most).select(*keys, parts.alias("__parts"))
+    salt = F.when(F.col("__parts").isNotNull(), F.pmod(F.xxhash64(*spread), F.col("__parts").cast("long")).cast("int")).otherwise(F.lit(0))
+    own = left.join(F.broadcast(hot), keys, "left").withColumn("__salt", salt).drop("__parts")
+    every = F.when(F.col(weight) > most, F.sequence(F.lit(0), parts - 1)).otherwise(F.array(F.lit(0)))
+    return own.join(right.withColumn("__salt", F.explode(every)), [*keys, "__salt"]).drop("__salt")
+
+
 def slices(sizes, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
     """Consecutive ranges of rows of about ``limit`` bytes, one row at least each."""
     start, total = 0, 0
@@ -63,6 +109,7 @@ def map_texts(df: DataFrame, column: str, schema: T.StructType, make: Callable[[
     Columns in ``keep`` pass through unchanged; texts are handed over in slices of
     about ``SLICE_BYTES`` bytes, whole rows always.
     """
+    bounded(df.sparkSession)
     kept = df.select(*[df[c] for c in keep], df[column].alias("__text"))
     fields = [kept.schema[c] for c in keep] + list(schema.fields)
     out = T.StructType([T.StructField(f.name, f.dataType, True) for f in fields])

@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import types as T
 
-EXTRA = ["score", "fp", "d", "k", "piece", "length", "predicted", "n_bytes", "component_id", "__t"]
+EXTRA = ["score", "fp", "d", "k", "piece", "length", "predicted", "n_bytes", "component_id", "__t", "__o", "__d", "__k", "__spans", "__rest", "__text", "__row", "__x", "__lang", "root", "c", "kept.x"]
 SCHEMA = T.StructType(
     [T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("lang", T.StringType()), T.StructField("source", T.StringType()), T.StructField("n_chars", T.LongType())]
     + [T.StructField(c, T.StringType()) for c in EXTRA]

@@ -6,8 +6,10 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from factlake.llm import language_id, masked_lm, packing, quality, sentencepiece_codec, simhash, suffix_dedup, suffix_sort, toxicity
 from factlake.llm.registry import tokenizer_path
@@ -23,7 +25,7 @@ def texts(docs):
     return [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
 
 
-def repeated(data: list[bytes], length: int) -> list[tuple[int, int, int, str]]:
+def repeated_marks(data: list[bytes], length: int) -> list[bytes]:
     seen = Counter(b[p : p + length] for b in data for p in range(len(b) - length + 1))
     out = []
     for b in data:
@@ -31,11 +33,22 @@ def repeated(data: list[bytes], length: int) -> list[tuple[int, int, int, str]]:
         for p in range(len(b) - length + 1):
             if seen[b[p : p + length]] > 1:
                 mark[p : p + length] = b"\1" * length
-        kept = bytes(x for x, m in zip(b, mark, strict=True) if not m)
-        out.append((len(b), sum(mark), len(re.findall(b"\1+", bytes(mark))), hashlib.sha256(kept).hexdigest()))
+        out.append(bytes(mark))
     return out
 
 
+def unmarked(data: bytes, mark: bytes) -> bytes:
+    return bytes(x for x, m in zip(data, mark, strict=True) if not m)
+
+
+def outcome(data: bytes, mark: bytes) -> tuple[int, int, int, str]:
+    return len(data), sum(mark), len(re.findall(b"\1+", mark)), hashlib.sha256(unmarked(data, mark)).hexdigest()
+
+
+def repeated(data: list[bytes], length: int) -> list[tuple[int, int, int, str]]:
+    return [outcome(b, m) for b, m in zip(data, repeated_marks(data, length), strict=True)]
+
+
 @pytest.mark.parametrize("most", [20_000, 1])
 def test_suffix_dedup(docs, most):
     own = texts(docs)
@@ -43,9 +56,48 @@ def test_suffix_dedup(docs, most):
     assert rows(suffix_dedup.dedup(docs, most=most).drop("spans")) == wanted
 
 
+@pytest.mark.parametrize("most", [20_000, 1])
+def test_suffix_dedup_survives_equal_class_hashes(docs, most):
+    """With one bit of class hash nearly all classes hold different strings and are opened."""
+    own = keyed_bytes(docs)
+    wanted = Counter((d, *x) for (d, _), x in zip(own, repeated([t for _, t in own], 200), strict=True))
+    data = suffix_dedup.keyed(docs, "doc_id", "text")
+    spans = suffix_dedup.repeated_spans(data, most=most, class_bits=1).groupBy("d", "k").agg(F.collect_list(F.struct("s", "e")).alias("x"))
+    got = Counter()
+    for r in data.join(spans, ["d", "k"], "left").collect():
+        raw, mark = bytes(r["__bytes"]), bytearray(len(r["__bytes"]))
+        for s, e in r["x"] or ():
+            mark[s:e] = b"\1" * (e - s)
+        got[(r["__doc"], *outcome(raw, bytes(mark)))] += 1
+    assert got == wanted
+
+
+def keyed_bytes(docs):
+    return [(d, (t or "").encode()) for d, t in texts(docs)]
+
+
+def test_long_texts_are_read_in_pieces(monkeypatch):
+    rng = np.random.default_rng(1)
+    text = rng.integers(97, 123, 70_000).astype(np.uint8).tobytes()
+    batch = pa.RecordBatch.from_arrays([pa.array([5]), pa.array([6]), pa.array([text], pa.binary())], names=["d", "k", "b"])
+    whole = next(suffix_dedup._find(iter([batch]), 200, 64, 64)).to_pylist()
+    monkeypatch.setattr(suffix_dedup, "SLICE_BYTES", 10_000)
+    parts = [r for b in suffix_dedup._find(iter([batch]), 200, 64, 64) for r in b.to_pylist()]
+
+    def windows(rows):
+        return sorted((w, r["place"], r["ah"]) for r in rows for w in range(r["lo"], r["hi"] + 1))
+
+    assert len(parts) > len(whole) and windows(parts) == windows(whole)
+
+
 def test_suffix_dedup_removes_and_keeps_columns(docs, no_docs):
     out = suffix_dedup.remove(docs)
-    assert out.columns == docs.columns and out.count() == docs.count()
+    assert out.columns == docs.columns
+    own = texts(docs)
+    cut = [None if t is None else unmarked(t.encode(), n).decode(errors="ignore") for (_, t), n in zip(own, repeated_marks([(t or "").encode() for _, t in own], 200), strict=True)]
+    wanted = Counter((d, t, "x" if has else None) for (d, _), t, has in zip(own, cut, [r["__d"] for r in docs.collect()], strict=True))
+    assert Counter((r["doc_id"], r["text"], r["__d"]) for r in out.collect()) == wanted
+    assert all(r[c] == r["__t"] for r in out.collect() for c in ("__d", "__k", "__spans", "__rest", "__text"))
     assert suffix_dedup.dedup(no_docs).count() == 0 and suffix_dedup.remove(no_docs).count() == 0
 
 
