@@ -15,7 +15,6 @@ as separate documents; any number of documents, also none, gives gapless sequenc
 from __future__ import annotations
 
 import zlib
-from array import array
 from collections.abc import Iterable
 
 import numpy as np
@@ -26,17 +25,13 @@ from pyspark.sql import types as T
 
 from factlake.llm.common import checkpoint, map_texts
 
-UNIT_TABLE = 400_000
-
-
 class ByteBpe:
-    """Ids of the tokenizers library, by units that no token crosses.
+    """Ids of the tokenizers library, added tokens in a text included.
 
-    A space that a non-space follows always begins a pre-token, so texts are cut before
-    such spaces; a unit's ids are found once and kept in a bounded table. Where the
-    tokenizer is plain byte-level BPE with ids in the order of its merges, tiktoken
-    merges the units with the tokenizer's own vocabulary, to the same ids at half the
-    cost; any other tokenizer encodes them itself.
+    Where the tokenizer is plain byte-level BPE with ids in the order of its merges,
+    tiktoken merges with the tokenizer's own vocabulary, to the same ids at a fraction of
+    the cost; texts are first cut at added tokens, as the library does. Any other
+    tokenizer encodes the texts itself.
     """
 
     #: Fixed value: the pre-tokenising pattern of byte-level BPE.
@@ -44,59 +39,61 @@ class ByteBpe:
 
     def __init__(self, path: str):
         import os
-        import re
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.cut = re.compile(r"(?= [^\s])")
-        self.odd = re.compile(r" \s| \Z|\0")
-        self.table: dict[str, bytes] = {}
         self.fast = self._ranked(path)
 
     def _ranked(self, path: str):
+        """Ids of a text without added tokens, as bytes; None for tokenizers of other kinds."""
         import json
+        import re
 
         import tiktoken
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        model, before = spec["model"], spec.get("pre_tokenizer") or {}
+        model, before, added = spec["model"], spec.get("pre_tokenizer") or {}, spec.get("added_tokens", ())
         if model["type"] != "BPE" or model.get("dropout") or spec.get("normalizer") or before.get("type") != "ByteLevel" or before.get("add_prefix_space") or before.get("use_regex") is False:
             return None
+        if any(t.get(x) for t in added for x in ("single_word", "lstrip", "rstrip")):
+            return None
         shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
         hidden = [b for b in range(256) if b not in set(shown)]
         byte = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
-        extra = {t["content"] for t in spec.get("added_tokens", ())}
-        ranks = {bytes(byte[c] for c in token): i for token, i in model["vocab"].items() if token not in extra}
+        self.added = {t["content"]: np.array([t["id"]], "<u4").tobytes() for t in added}
+        ranks = {bytes(byte[c] for c in token): i for token, i in model["vocab"].items() if token not in self.added}
         merged = ["".join(m) if isinstance(m, list) else m.replace(" ", "") for m in model["merges"]]
         ids = [model["vocab"][m] for m in merged]
         if ids != sorted(ids):
             return None
-        return tiktoken.Encoding("own", pat_str=self.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        self.at_added = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
+        merge = tiktoken.Encoding("own", pat_str=self.PATTERN, mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_to_tiktoken_buffer
+        none: set[str] = set()
+
+        def fast(text: str) -> bytes:
+            try:
+                return bytes(merge(text, none))
+            except ValueError:  # white space of millions of characters: its pattern's stack is bounded
+                return self.slow(text)
+
+        return fast
 
-    def encode_units(self, units: list[str]) -> list[list[int]]:
-        if self.fast:
-            return list(map(self.fast, units))
-        return [e.ids for e in self.tokenizer.encode_batch(units, add_special_tokens=False)]
+    def slow(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def units(self, text: str) -> list[str]:
-        if self.odd.search(text):
-            return self.cut.split(text)
-        return text.replace(" ", "\0 ").split("\0")
+    def one(self, text: str) -> bytes:
+        if not self.fast:
+            return self.slow(text)
+        if not self.at_added or not self.at_added.search(text):
+            return self.fast(text)
+        return b"".join(self.added.get(x) or self.fast(x) for x in self.at_added.split(text) if x)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """For each text its ids as unsigned little-endian 32-bit integers."""
-        parts = [self.units(t) if t else [] for t in texts]
-        every = set().union(*parts)
-        if len(self.table) + len(every) > UNIT_TABLE:
-            self.table = {}
-        if missing := [u for u in every if u not in self.table]:
-            self.table.update((u, array("I", ids).tobytes()) for u, ids in zip(missing, self.encode_units(missing), strict=True))
-        get = self.table.__getitem__
-        return [b"".join(map(get, p)) for p in parts]
+        return [self.one(t) if t else b"" for t in texts]
 
 
 def cut(n: int, capacity: int) -> list[tuple[int, int]]:

@@ -216,12 +216,24 @@ def test_packing_matches_naive_best_fit():
         assert sorted(cap - sum(n for _, n in v) for v in got.values()) == sorted(bins)
 
 
+def test_ids_are_those_of_the_untouched_library():
+    from tokenizers import Tokenizer
+
+    path = tokenizer_path("byte_bpe_50k.json")
+    lib, bpe = Tokenizer.from_file(path), packing.ByteBpe(path)
+    mark = "<|endoftext|>"
+    odd = ["a <|endoftext|> b", mark, mark * 3, f"x{mark}{mark} y", f" {mark} ", "<|endoftext|", "it's we'LL  \n\n x\t", " " * 3_000_000, "z" * 100_000, "\0\x85\u2028\xa0a 漢字 é e\u0301 😀", "1234 5678x", "\r\n \n  a"]
+    assert [np.frombuffer(x, "<u4").tolist() for x in bpe.encode(odd)] == [lib.encode(t, add_special_tokens=False).ids for t in odd]
+    assert bpe.fast and bpe.encode([None, ""]) == [b"", b""]
+    bpe.fast = None
+    assert [np.frombuffer(x, "<u4").tolist() for x in bpe.encode(odd[:3])] == [lib.encode(t, add_special_tokens=False).ids for t in odd[:3]]
+
+
 def test_packing(docs, no_docs):
     from tokenizers import Tokenizer
 
     path = tokenizer_path("byte_bpe_50k.json")
     lib = Tokenizer.from_file(path)
-    lib.encode_special_tokens = True
     out = packing.pack(packing.tokenise(docs, path, with_ids=True)).collect()
     wanted = Counter()
     for d, t in texts(docs):
