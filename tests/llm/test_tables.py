@@ -49,9 +49,33 @@ def test_embeddings(spark, block):
     assert embedding_dedup.dedup(spark.createDataFrame([], VECTORS)).count() == 0
 
 
+def test_embeddings_at_the_threshold_and_at_the_ends_of_doubles(spark):
+    """Wide pairs at cosine 0.95 to the last bit are linked; lengths don't overflow; a rare length in many blocks counts once."""
+    rng = np.random.default_rng(8)
+    rows, pairs = [], []
+    for n in (2240, 5160, 7000, 20000):
+        for _ in range(3):
+            x = rng.choice([-1.0, 1.0], n)
+            y = x.copy()
+            y[rng.permutation(n)[: n // 40]] *= -1
+            assert x @ y == round(0.95 * n)
+            pairs.append((len(rows), len(rows) + 1))
+            rows += [(len(rows), x.tolist()), (len(rows) + 1, y.tolist())]
+    big = rng.normal(size=8)
+    first = len(rows)
+    rows += [(first + i, (big * f).tolist()) for i, f in enumerate((1e200, 1e-200, 1e300, 1.0, -1e200))]
+    rows += [(first + 10 + i, rng.normal(size=6).tolist()) for i in range(60)]
+    got = {r.vec_id: r for r in embedding_dedup.dedup(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), block=7).collect()}
+    assert all((got[a].n_links, got[b].n_links, got[b].component_id) == (1, 1, a) for a, b in pairs)
+    assert [got[first + i].n_links for i in range(5)] == [3, 3, 3, 3, 0] and got[first + 3].component_id == first
+    n, comp = brute_links([(i, v) for i, v in rows if i >= first + 10], 0.95)
+    assert [got[first + 10 + i].n_links for i in range(60)] == n
+
+
 def test_quantisation_bound():
     rng = np.random.default_rng(6)
-    x = embedding_dedup.unit_rows(rng.normal(size=(200, 64)).tolist())
+    x = rng.normal(size=(200, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
     q, s, near, rest = embedding_dedup.quantise(x)
     product = (s[:, None] * s) * embedding_dedup.integer_product(q, q)
     bound = near[:, None] * rest + rest[:, None] * (near + rest)
