@@ -325,31 +325,29 @@ def test_language(docs, no_docs):
     assert language_id.identify(no_docs).count() == 0
 
 
-def test_code_lengths_are_those_of_the_tree():
-    """The table against the escape rule worked out one context at a time."""
-    sample = b"abracadabra abba"
-    model = language_id.build({"x": language_id.trigrams_of([sample])})
-    padded = bytes([255, 255]) + sample
-    grams = Counter(padded[i : i + 3] for i in range(len(sample)))
-
-    def prob(context: bytes, b: int) -> float:
-        seen = Counter()
-        for g, n in grams.items():
-            if g[2 - len(context) : 2] == context:
-                seen[g[2]] += n
-        if not seen:
-            return prob(context[1:], b) if context else 1 / 256
-        n, t = sum(seen.values()), len(seen)
-        if b in seen:
-            return seen[b] / (n + t)
-        lower = (lambda c: prob(context[1:], c)) if context else (lambda c: 1 / 256)
-        rest = sum(lower(c) for c in range(256) if c not in seen and c != 255) if context else (256 - t) / 256
-        return t / (n + t) * lower(b) / rest
-
-    text = b"abcab"
-    x = bytes([255, 255]) + text
-    bits = sum(-np.log2(prob(x[i : i + 2], x[i + 2])) for i in range(len(text)))
-    assert model.lengths([text])[0, 0] / language_id.UNIT == pytest.approx(bits, abs=0.02)
+def test_code_lengths_are_those_of_the_tree(monkeypatch):
+    """The look-ups against the escape rule worked out one context at a time."""
+    monkeypatch.setattr(language_id, "SEEN", 3)
+    order, seen = language_id.ORDER, 3
+    samples = {"x": b"abracadabra abba abracadabra abc abracad", "y": b"the cat sat on the mat, the hat that the cat had"}
+    model = language_id.build({x: np.unique(language_id.grams([s]), return_counts=True) for x, s in samples.items()})
+
+    def prob(sample: bytes, context: bytes, b: int) -> float:
+        padded = bytes([255] * order) + sample
+        after = Counter(padded[i] for i in range(order, len(padded)) if padded[i - len(context) : i] == context)
+        lower = (lambda c: prob(sample, context[1:], c)) if context else (lambda c: 1 / 256)
+        n, t = sum(after.values()), len(after)
+        if n < (seen if len(context) > 1 else 1):
+            return lower(b)
+        if b in after:
+            return after[b] / (n + t)
+        return t / (n + t) * lower(b) / (1 - sum(map(lower, after)))
+
+    for text in (b"abcab", b"the rat", b"zq"):
+        x = bytes([255] * order) + text
+        for got, sample in zip(model.lengths([text])[0], samples.values(), strict=True):
+            bits = sum(-np.log2(prob(sample, x[i : i + order], x[i + order])) for i in range(len(text)))
+            assert got / language_id.UNIT == pytest.approx(bits, abs=0.02)
 
 
 def test_masked_lm(docs, no_docs):
