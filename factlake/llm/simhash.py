@@ -207,8 +207,9 @@ def one_of_each(docs: DataFrame, *, shingle: int = 3, bits: int = 2, doc: str =
     ones one; a null id counts as the largest.
     """
     largest = F.lit((1 << 63) - 1)
-    key = docs.withColumn("__o", F.coalesce(F.col(doc).cast("long"), largest)).withColumn("__t", F.xxhash64(F.col(text)))
-    prints = checkpoint(fingerprints(key.select("__o", "__t", F.col(text).alias("__text")), shingle=shingle, text="__text", keep=("__o", "__t")))
+    # the row travels as one column, safe from any name in it
+    key = docs.select(F.struct("*").alias("__row"), F.coalesce(F.col(doc).cast("long"), largest).alias("__o"), F.xxhash64(F.col(text)).alias("__t"), F.col(text).alias("__text"))
+    prints = checkpoint(fingerprints(key.select("__o", "__t", "__text"), shingle=shingle, text="__text", keep=("__o", "__t")))
     found = components(prints, doc="__o", bits=bits)
     first = prints.join(found, "fp").groupBy("component_id").agg(F.min(F.struct("__o", "__t")).alias("f")).select("f.__o", "f.__t")
-    return key.join(first, ["__o", "__t"], "left_semi").dropDuplicates(["__o", "__t"]).select(*docs.columns)
+    return key.join(first, ["__o", "__t"], "left_semi").dropDuplicates(["__o", "__t"]).select("__row.*")

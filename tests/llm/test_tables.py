@@ -1,12 +1,15 @@
 """Operators over embeddings and pages, components, and the pipeline."""
 
 import math
+import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
 
 from factlake.llm import embedding_dedup, warc
 from factlake.llm.components import connected_components
+from factlake.llm.registry import tokenizer_path
 
 VECTORS = "vec_id long, embedding array<float>, label int, h string, c string"
 
@@ -127,16 +130,47 @@ def test_packages_are_zip_files_read_by_ranges(zip64):
         warc.Package(lambda at, n: b"\0" * n, 100)
 
 
+def rows_of(df):
+    return Counter(tuple(r) for r in df.collect())
+
+
 def test_pipeline(spark, docs, tmp_path):
+    """The contents of every stage: rows pass whole, or not at all, or with their own text cut."""
+    from tokenizers import Tokenizer
+
     import corpus_pipeline
+    from factlake.llm import language_id, packing, toxicity
+    from tests.llm.test_documents import repeated_marks, unmarked
 
+    labels = spark.createDataFrame([(3, 0, 0)], "doc_id long, quality int, toxic int")
     docs.write.parquet(str(tmp_path / "documents.parquet"))
-    spark.createDataFrame([(3, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
-    now = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    now, seen = spark.read.parquet(str(tmp_path / "documents.parquet")), []
     for i, (name, stage) in enumerate(corpus_pipeline.STAGES):
         out = stage(spark, now, str(tmp_path))
         if i < len(corpus_pipeline.STAGES) - 1:
             assert out.columns == docs.columns, name
         out.write.parquet(str(tmp_path / name))
-        now = spark.read.parquet(str(tmp_path / name))
-    assert corpus_pipeline.run(spark, str(tmp_path)).count() == now.count() > 0
+        seen.append((now, now := spark.read.parquet(str(tmp_path / name))))
+    (a, b), (_, c), (_, d), (_, e), (_, f) = seen
+    text, at = docs.columns.index("text"), {n: i for i, n in enumerate(docs.columns)}
+    toxic = Counter((r.doc_id, r.text) for r in toxicity.classify(a.select("doc_id", "text"), labels, keep=("doc_id", "text")).collect() if r.predicted)
+    assert rows_of(a) - rows_of(b) == Counter({r: n for r, n in rows_of(a).items() if (r[0], r[text]) in toxic})
+    assert not rows_of(b) - rows_of(a)
+    known = Counter((r.doc_id, r.text) for r in language_id.identify(b, keep=("doc_id", "text")).collect() if r.known)
+    assert rows_of(c) == Counter({r: n for r, n in rows_of(b).items() if (r[0], r[text]) in known}) and all(any(map(str.isalpha, r[text])) for r in rows_of(c))
+    left = {r[text] for r in rows_of(c)}
+    assert not rows_of(d) - rows_of(c) and len(rows_of(d)) == d.count() <= len(left)
+    for r in rows_of(c):  # an equal text of the smallest id stays, or a near copy of it
+        ids = [x[0] for x in rows_of(c) if x[text].split() == r[text].split() and x[0] is not None]
+        assert sum(x[text].split() == r[text].split() for x in rows_of(d)) <= 1 and all(x[0] <= min(ids) for x in rows_of(d) if x[text].split() == r[text].split() and ids)
+    own = sorted(rows_of(d), key=repr)
+    cut = [unmarked(r[text].encode(), m).decode(errors="ignore") for r, m in zip(own, repeated_marks([r[text].encode() for r in own], 200), strict=True)]
+    wanted = Counter(tuple(t if i == text else len(t) if i == at["n_chars"] else x for i, x in enumerate(r)) for r, t in zip(own, cut, strict=True))
+    assert rows_of(e) == wanted
+    lib, pieces = Tokenizer.from_file(tokenizer_path("byte_bpe_50k.json")), Counter()
+    for r in rows_of(e):
+        ids = [*lib.encode(r[text], add_special_tokens=False).ids, 2]
+        pieces.update((r[0], k, s, n, zlib.crc32(np.array(ids[s : s + n], "<u4").tobytes())) for k, (s, n) in enumerate(packing.cut(len(ids), 1024)))
+    assert Counter(tuple(r)[:5] for r in f.collect()) == pieces
+    assert rows_of(corpus_pipeline.run(spark, str(tmp_path)).drop("sequence_id", "offset")) == rows_of(f.drop("sequence_id", "offset"))
