@@ -28,8 +28,6 @@ WORD = r"[^\x20\x09-\x0D]"
 RISK, ERROR = 0.002, 0.05
 #: Quantiles, over all documents, at which cutoffs are tried.
 GRID = (0.8, 0.9, 0.95, 0.98, 0.99, 0.995, 0.999)
-#: Strata with cutoffs of their own at most, those with most labelled rows; the others are pooled.
-MOST_STRATA = 64
 #: Measures that are rejected above a cutoff.
 RULES = {
     "symbols": "n_symbols / greatest(n_words, 1)",
@@ -92,14 +90,23 @@ def log_binomial_tail(n: Column, k: Column, p: float) -> Column:
     return F.when(k < n * p, F.aggregate(steps, first, step, lambda a: a["t"] + F.ln(a["s"]))).otherwise(F.lit(0.0))
 
 
+def enough(n: int, groups: int, risk: float, error: float) -> bool:
+    """Whether a rule that rejects none of ``n`` good rows can be shown safe next to so many groups."""
+    from math import log
+
+    return n * log(1 - risk) <= log(error / (len(RULES) * len(GRID) * groups))
+
+
 def alone(sizes: list[int], risk: float, error: float) -> int:
     """How many strata, of falling ``sizes``, can show a rule that rejects nothing, next to the pool."""
-    from math import log
+    return max((i for i, n in enumerate(sizes, 1) if enough(n, i + 1, risk, error)), default=0)
+
 
-    def enough(n: int, groups: int) -> bool:
-        return n * log(1 - risk) <= log(error / (len(RULES) * len(GRID) * groups))
+def least_rows(risk: float, error: float) -> int:
+    """Good rows below which no stratum can show anything alone."""
+    from math import ceil, log
 
-    return max((i for i, n in enumerate(sizes, 1) if enough(n, i + 1)), default=0)
+    return ceil(log(error / (len(RULES) * len(GRID) * 2)) / log(1 - risk))
 
 
 def group(stratum: str, names: list[str]) -> Column:
@@ -108,13 +115,13 @@ def group(stratum: str, names: list[str]) -> Column:
 
 
 def cutoffs(measured: DataFrame, labels: DataFrame, *, doc: str, stratum: str, label: str, risk: float, error: float) -> tuple[list[str], DataFrame]:
-    """The strata of their own, and (stratum or null for the pool, cutoff of each rule or null): ``MOST_STRATA`` rows and one at most."""
+    """The strata of their own, and (stratum or null for the pool, cutoff of each rule or null): a row for each of some 3,600 labelled rows, and one, at most."""
     from math import log
 
     grid = measured.agg(*[F.percentile_approx(f"r_{r}", list(GRID), 10000).alias(f"g_{r}") for r in RULES])
     own = labels.where(F.col(label).isin(0, 1)).groupBy(F.col(doc).alias("__d")).agg(F.min(label).alias("__y")).where("__y = 1")
     good = measured.where(~F.col("base_failed")).join(own, measured[doc] == F.col("__d"), "left_semi")
-    sizes = good.groupBy(stratum).agg(F.count("*").alias("n")).orderBy(F.desc("n"), stratum).limit(MOST_STRATA).collect()
+    sizes = good.groupBy(stratum).agg(F.count("*").alias("n")).where(F.col("n") >= least_rows(risk, error)).orderBy(F.desc("n"), stratum).collect()
     names = [r[0] for r in sizes[: alone([r[1] for r in sizes], risk, error)]]
     tried = good.crossJoin(F.broadcast(grid))  # one row, so no product
     over = [F.sum((F.col(f"r_{r}") > F.get(f"g_{r}", F.lit(i))).cast("long")).alias(f"k_{r}_{i}") for r in RULES for i in range(len(GRID))]
@@ -136,7 +143,7 @@ def judge(docs: DataFrame, labels: DataFrame, *, doc: str = "doc_id", text: str
     m = m.withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
     m = checkpoint(m.select("*", *[F.expr(e).cast("double").alias(f"r_{r}") for r, e in RULES.items()]))
     own_strata, limits = cutoffs(m, labels, doc=doc, stratum="__lang", label=label, risk=risk, error=error)
-    found = m.withColumn("__group", group("__lang", own_strata)).join(F.broadcast(limits), F.col("__group").eqNullSafe(F.col("__stratum")), "left")  # MOST_STRATA + 1 rows at most
+    found = m.withColumn("__group", group("__lang", own_strata)).join(F.broadcast(limits), F.col("__group").eqNullSafe(F.col("__stratum")), "left")  # a row for each stratum that could show something alone
     rejected = F.lit(False)
     for r in RULES:
         rejected = rejected | F.coalesce(F.col(f"r_{r}") > F.col(f"c_{r}"), F.lit(False))
