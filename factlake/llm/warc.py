@@ -1,24 +1,30 @@
 """WARC archives inside ZIP packages: writing, and reading by byte ranges.
 
-A package is a ZIP file whose members are stored, not compressed: one WARC file and
-one index with a line for each record (offset, length, id, type). The reader finds
+A package is a ZIP file whose members are stored, not compressed: one WARC file, whose
+records are gzip members of their own, and one index with a line for each record
+(offset, length, id, type). The reader finds
 the end record (and the ZIP64 end record, where a size, offset or count outgrows its
 field), walks the central directory, locates the members from their local headers,
 and cuts single records out of the archive by range, so nothing is extracted.
 
-Packages travel as rows of a table in the cluster's shared folder: executors need no
-common file system but Spark's own. Each holds at most ``PACKAGE_RECORDS`` records or
+Packages are files in the cluster's shared folder, written and read by the tasks through
+pyarrow's file systems; a task that runs again writes files of new names, and only those
+of the one that ended are listed. Where pyarrow can't open the folder's kind of store they
+travel as rows of a table there, read by the same ranges. Each holds at most ``PACKAGE_RECORDS`` records or
 about ``PACKAGE_BYTES`` of payload, whichever comes first.
 
 Defined cases: a null html is an empty payload; payloads under ``least`` bytes are
 never revisits; of equal payloads the smallest id is the response (of rows that share
-that id too, one), a null id counts as the largest.
+that id too, one; the pages must come laid out the same twice, as tables do),
+a null id counts as the largest.
 """
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import struct
+import uuid
 import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -27,10 +33,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factlake.llm.common import checkpoint
+from factlake.llm.common import checkpoint, shared
 
 PACKAGE_RECORDS, PACKAGE_BYTES = 2000, 16 << 20
-ARCHIVE, INDEX = "archive/data.warc", "indexes/index.tsv"
+ARCHIVE, INDEX = "archive/data.warc.gz", "indexes/index.tsv"
 LIMIT32, LIMIT16 = 0xFFFFFFFF, 0xFFFF
 
 
@@ -157,14 +163,14 @@ class Package:
         base = self.start(ARCHIVE)
         for line in self.member(INDEX).decode().splitlines():
             offset, length = map(int, line.split("\t")[:2])
-            yield parse_record(self.read(base + offset, length))
+            yield parse_record(gzip.decompress(self.read(base + offset, length)))
 
 
 def package(rows: list[tuple], *, zip64: bool = False) -> bytes:
     """A package of (page_id, url, payload, digest, kind, refers_to)."""
     archive, lines = bytearray(), []
     for number, (page, url, payload, digest, kind, refers) in enumerate(rows):
-        data = record(kind, url or "", number, payload, digest, refers, page)
+        data = gzip.compress(record(kind, url or "", number, payload, digest, refers, page), 4, mtime=0)
         lines.append(f"{len(archive)}\t{len(data)}\t{'' if page is None else page}\t{kind}\n")
         archive += data
     return zip_stored([(ARCHIVE, bytes(archive)), (INDEX, "".join(lines).encode())], zip64=zip64)
@@ -186,43 +192,67 @@ def decide(pages: DataFrame, *, page: str = "page_id", html: str = "html", url:
     return named.select("page", "url", "html", "digest", F.when(revisit, "revisit").otherwise("response").alias("kind"), F.when(revisit, F.col("first.page")).alias("first"))
 
 
-def write(pages: DataFrame, *, page: str = "page_id", html: str = "html", url: str = "url", least: int = 100) -> DataFrame:
-    """Packages of the pages' records: rows (package, records, content)."""
+def opened(folder: str):
+    """pyarrow's file system and path of a folder, or None for a kind of store it can't open."""
+    from pyarrow import fs
+
+    try:
+        return fs.FileSystem.from_uri(folder)
+    except (pa.ArrowInvalid, pa.ArrowNotImplementedError, OSError):
+        return None
+
+
+def write(pages: DataFrame, *, page: str = "page_id", html: str = "html", url: str = "url", least: int = 100, folder: str | None = None) -> DataFrame:
+    """Packages of the pages' records: rows (path, records, content), the path of a file in ``folder`` or, without one, the content."""
     rows = decide(pages, page=page, html=html, url=url, least=least)
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size, number = [], 0, 0
+        held, size = [], 0
 
         def one():
-            return pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), pa.array([len(held)], pa.int32()), pa.array([package(held)], pa.binary())], names=["package", "records", "content"])
+            data, path = package(held), None
+            if folder:
+                store, base = opened(folder)
+                store.create_dir(base, recursive=True)
+                path = f"{base}/{uuid.uuid4().hex}.zip"
+                with store.open_output_stream(path) as out:
+                    out.write(data)
+            return pa.RecordBatch.from_arrays([pa.array([path], pa.string()), pa.array([len(held)], pa.int32()), pa.array([None if path else data], pa.binary())], names=["path", "records", "content"])
 
         for b in batches:
-            for page_id, link, text, digest, kind, first in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                payload = text.encode()
-                held.append((page_id, link, payload, digest, kind, first))
+            for page_id, link, text, digest, kind, first in zip(*b.columns, strict=True):
+                payload = text.as_py().encode()
+                held.append((page_id.as_py(), link.as_py(), payload, digest.as_py(), kind.as_py(), first.as_py()))
                 size += len(payload)
                 if len(held) >= PACKAGE_RECORDS or size >= PACKAGE_BYTES:
                     yield one()
-                    held, size, number = [], 0, number + 1
+                    held, size = [], 0
         if held:
             yield one()
 
-    return rows.mapInArrow(put, "package int, records int, content binary")
+    return rows.mapInArrow(put, "path string, records int, content binary")
 
 
-def read(packages: DataFrame, *, page_type: str = "long") -> DataFrame:
+def read(packages: DataFrame, *, folder: str | None = None) -> DataFrame:
     """Every record: page_id, payload_bytes, payload_digest, record_type, refers_to, url, body.
 
     The digest of a response is computed from its body; a revisit states its own.
     """
+    names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "body"]
+    kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string())
+
+    def ranges(path: str | None, content: pa.BinaryScalar) -> tuple[Callable[[int, int], bytes], int]:
+        if path is None:
+            data = content.as_buffer()
+            return lambda at, n: data.slice(at, n).to_pybytes(), data.size
+        file = opened(folder)[0].open_input_file(path)
+        return lambda at, n: file.read_at(n, at), file.size()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for content in b.column(0):
-                data = content.as_buffer()
-                p = Package(lambda at, n, data=data: data.slice(at, n).to_pybytes(), data.size)
-                out = [[] for _ in range(7)]
-                for fields, body in p.records():
+            for path, content in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                out, size = [[] for _ in names], 0
+                for fields, body in Package(*ranges(path, content)).records():
                     kind = fields["WARC-Type"]
                     full = kind == "response"
                     digest = hashlib.sha256(body).hexdigest() if full else fields["WARC-Payload-Digest"].removeprefix("sha256:")
@@ -230,13 +260,20 @@ def read(packages: DataFrame, *, page_type: str = "long") -> DataFrame:
                     refers = fields.get("WARC-Refers-To", "")[10:-1]
                     for column, value in zip(out, (page and int(page), len(body) if full else int(fields["X-Payload-Length"]), digest, kind, int(refers) if refers and refers != "None" else None, fields["WARC-Target-URI"], body.decode() if full else None), strict=True):
                         column.append(value)
-                kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string())
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds, strict=True)], names=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "body"])
+                    size += len(body)
+                    if size > 4 << 20:
+                        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds, strict=True)], names=names)
+                        out, size = [[] for _ in names], 0
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds, strict=True)], names=names)
 
-    return packages.select("content").mapInArrow(cut, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, body string")
+    return packages.select("path", "content").mapInArrow(cut, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, body string")
 
 
 def round_trip(pages: DataFrame, *, page: str = "page_id", html: str = "html", url: str = "url", least: int = 100) -> DataFrame:
     """Writes the pages to packages in the shared folder and reads every record back."""
-    packages = checkpoint(write(pages, page=page, html=html, url=url, least=least))
-    return read(packages)
+    spark = pages.sparkSession
+    shared(spark)
+    folder = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/packages-{uuid.uuid4().hex}"
+    folder = folder if opened(folder) else None
+    packages = checkpoint(write(pages, page=page, html=html, url=url, least=least, folder=folder))
+    return read(packages, folder=folder)

@@ -106,6 +106,24 @@ def test_warc(spark):
     assert first.page_id == 3 and first.body == big and all(r.refers_to == 3 for r in same if r is not first)
     assert all(r.record_type == "response" and r.refers_to is None for r in out if r.payload_bytes < 100 or r.payload_bytes == 250 or r.payload_bytes > 5000)
     assert warc.round_trip(spark.createDataFrame([], PAGES)).count() == 0
+    as_rows = warc.read(warc.write(df)).collect()  # in a store that pyarrow can't open
+    assert warc.opened("viewfs://store/x") is None and Counter(r.payload_digest for r in as_rows) == Counter(r.payload_digest for r in out)
+
+
+def test_packages_are_files_that_other_readers_open(spark, tmp_path):
+    import gzip
+    import zipfile
+
+    df = spark.createDataFrame([(i, f"u{i}", f"<p>{i}" * 50, "", "") for i in range(30)], PAGES).repartition(2)
+    files = warc.write(df, folder=f"file://{tmp_path}/packages").collect()
+    assert files and all(f.content is None for f in files)
+    bodies = set()
+    for f in files:
+        with zipfile.ZipFile(f.path) as z:
+            records = gzip.decompress(z.read(warc.ARCHIVE)).split(b"WARC/1.1\r\n")[1:]
+            bodies |= {r.split(b"\r\n\r\n", 1)[1].removesuffix(b"\r\n\r\n").decode() for r in records}
+            assert len(records) == f.records == len(z.read(warc.INDEX).splitlines())
+    assert bodies == {f"<p>{i}" * 50 for i in range(30)}
 
 
 @pytest.mark.parametrize("zip64", [False, True])
