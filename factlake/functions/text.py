@@ -148,7 +148,11 @@ def canonical_property(name: Column) -> Column:
 
 def mentions(question: Column, phrase: Column) -> Column:
     """Whether the phrase's tokens occur as a run, or all of them anywhere."""
-    q, p = normal(question), normal(phrase)
+    return holds(normal(question), normal(phrase))
+
+
+def holds(q: Column, p: Column) -> Column:
+    """``mentions`` of normal forms."""
     run = F.concat(F.lit(" "), q, F.lit(" ")).contains(F.concat(F.lit(" "), p, F.lit(" ")))
     return (p != "") & (run | (F.size(F.array_except(F.split(p, " "), F.split(q, " "))) == 0))
 

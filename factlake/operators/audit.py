@@ -56,18 +56,14 @@ def gold_audit(questions: DataFrame, parsed: DataFrame) -> DataFrame:
     Facts are those of the question's property, or all of the entity where the question
     names none.
     """
-    q = questions.withColumn("qp", question_property(F.col("question")))
-    f = parsed.select(F.col("entity"), "property", "serial", "ord", "value")
-    hit = q.select("qid", "entity", "qp", "target").join(f.withColumnRenamed("property", "__p"), "entity").where((F.col("qp") == "value") | (F.col("qp") == F.col("__p")))
-    own = hit.groupBy("qid").agg(
-        F.count("*").alias("n_support"),
-        F.min(F.struct("serial", "ord", "value")).alias("first"),
-        F.count_distinct("value").alias("raw"),
-        F.count_distinct(planner_normal(F.col("value"))).alias("norms"),
-        F.bool_or(planner_normal(F.col("value")) == planner_normal(F.col("target"))).alias("seen"),
-    )
+    q = questions.withColumn("qp", question_property(F.col("question"))).withColumn("__norm", planner_normal(F.col("target")))
+    # a row for each distinct value first, which then counts for its property and for the whole entity ("value")
+    values = parsed.groupBy("entity", "property", "value").agg(F.count("*").alias("n"), F.min(F.struct("serial", "ord", "value")).alias("first"))
+    scoped = values.withColumn("__norm", planner_normal(F.col("value"))).withColumn("qp", F.explode(F.array_distinct(F.array("property", F.lit("value")))))
+    own = scoped.groupBy("entity", "qp").agg(F.sum("n").alias("n_support"), F.min("first").alias("first"), F.count_distinct("value").alias("raw"), F.count_distinct("__norm").alias("norms"))
+    seen = scoped.select("entity", "qp", "__norm").distinct().withColumn("seen", F.lit(True))
     every = parsed.groupBy("entity").agg(F.count("*").alias("n_entity"))
-    j = q.join(every, "entity", "left").join(own, "qid", "left").na.fill(0, ["n_entity", "n_support"])
+    j = q.join(own, ["entity", "qp"], "left").join(seen, ["entity", "qp", "__norm"], "left").join(every, "entity", "left").na.fill(0, ["n_entity", "n_support"])
     intent, gold = F.col("intent"), F.col("gold")
     count = gold.try_cast("long")
     none = F.col("n_support") == 0

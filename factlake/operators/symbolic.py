@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from factlake.functions.text import asks_count, asks_ever, canonical_property, case, mentions, names_relation, native_count, negated, normal, parse_fact, planner_normal, planner_property, python_json, temporal_cue, temporal_offset
+from factlake.functions.text import asks_count, asks_ever, canonical_property, case, holds, mentions, names_relation, native_count, negated, normal, parse_fact, planner_normal, planner_property, python_json, temporal_cue, temporal_offset
 
 
 def gate(question: Column, answer: Column, fact: Column) -> Column:
@@ -39,7 +39,11 @@ def historical_native(questions: DataFrame, candidates: DataFrame) -> DataFrame:
 
 def boolean_native(questions: DataFrame, candidates: DataFrame) -> DataFrame:
     """(qid, answer): any candidate for "ever" questions, else the freshest one."""
-    c = candidates.join(questions.select("qid", "question"), "qid").withColumn("g", gate(F.col("question"), F.col("answer_entity"), F.col("fact_text")))
+    # the question's normal form and cues once a question, the two of a candidate once a candidate
+    q = questions.select("qid", normal(F.col("question")).alias("__q"), negated(F.col("question")).alias("__not"))
+    c = candidates.withColumns({"__a": normal(F.col("answer_entity")), "__f": normal(F.col("fact_text"))}).join(q, "qid")
+    hit = holds(F.col("__q"), F.col("__a")) | holds(F.col("__q"), F.col("__f"))
+    c = c.withColumn("g", F.when(F.col("__not"), ~hit).otherwise(hit))
     one = c.groupBy("qid").agg(F.bool_or("g").alias("some"), _freshest(["g"]).alias("f"))
     answer = F.coalesce(F.when(asks_ever(F.col("question")), F.col("some")).otherwise(F.col("f.g")), F.lit(False))
     return questions.select("qid", "question").join(one, "qid", "left").select("qid", answer.alias("answer"))
@@ -80,15 +84,34 @@ def in_scope(scope: Column, wanted: Column, fact_property: Column) -> Column:
     return case([(scope == "entity_wide_values", True), (scope == "specific", F.coalesce(canonical_property(fact_property) == canonical_property(wanted), F.lit(False)))], False)
 
 
+def parsed_facts(facts: DataFrame, text: str = "text") -> DataFrame:
+    """Adds what the planner reads in each fact: subject, answer_entity, fact_property and fact_normal.
+
+    Called on the facts before they meet questions, each is parsed once however many ask for it.
+    """
+    subject, value = parse_fact(F.col(text))
+    return facts.withColumns({"subject": subject, "answer_entity": value, "fact_property": planner_property(F.col(text))}).withColumn("fact_normal", planner_normal(F.col("answer_entity")))
+
+
+PARSED = ("subject", "answer_entity", "fact_property", "fact_normal")
+
+
+def about(plans: DataFrame, retrieved: DataFrame) -> DataFrame:
+    """The facts retrieved for each supported plan whose subject is its entity, beside the plan's scope."""
+    r = retrieved if set(PARSED) <= set(retrieved.columns) else parsed_facts(retrieved)
+    r = r.select("qid", "ord", "serial", F.col("text").alias("fact_text"), *PARSED)
+    p = plans.where("supported and entity is not null and entity <> ''")
+    return r.join(p, "qid").where((F.col("subject") == F.col("entity")) & (F.col("answer_entity") != ""))
+
+
 def deterministic_candidates(plans: DataFrame, retrieved: DataFrame) -> DataFrame:
     """Exact subject and property facts of each plan, one per (serial, text).
 
-    ``retrieved`` has (qid, ord, serial, text). Adds (answer_entity, fact_property).
+    ``retrieved`` has (qid, ord, serial, text), and what ``parsed_facts`` adds if that is
+    done already. Adds (answer_entity, fact_property).
     """
-    subject, value = parse_fact(F.col("text"))
-    r = retrieved.select("qid", "ord", "serial", F.col("text").alias("fact_text"), subject.alias("__s"), value.alias("answer_entity"), planner_property(F.col("text")).alias("fact_property"))
-    p = plans.where("supported and entity is not null and entity <> ''").select("qid", "entity", "property_scope", "property_name")
-    hit = r.join(p, "qid").where((F.col("__s") == F.col("entity")) & (F.col("answer_entity") != "") & in_scope(F.col("property_scope"), F.col("property_name"), F.col("fact_property")))
+    hit = about(plans.select("qid", "entity", "property_scope", "property_name", "supported"), retrieved)
+    hit = hit.where(in_scope(F.col("property_scope"), F.col("property_name"), F.col("fact_property")))
     return hit.groupBy("qid", "serial", "fact_text").agg(F.min("ord").alias("ord"), F.first("answer_entity").alias("answer_entity"), F.first("fact_property").alias("fact_property"))
 
 
@@ -102,12 +125,18 @@ def history_complete(plans: DataFrame, retrieved: DataFrame, entity_counts: Data
     wide = plans.withColumns({"__scope": F.col("property_scope"), "property_scope": F.when(whole, "entity_wide_values").otherwise(F.col("property_scope"))})
     # entity-wide candidates exist for unsupported plans too as far as the count goes
     found = deterministic_candidates(wide, retrieved).groupBy("qid").agg(F.count_distinct("serial").alias("got"))
-    out = wide.join(found, "qid", "left").join(entity_counts.select("entity", F.col("n").alias("__n")), "entity", "left")
+    return expected_met(wide.join(found, "qid", "left"), entity_counts, property_counts).select("qid", "complete")
+
+
+def expected_met(plans: DataFrame, entity_counts: DataFrame, property_counts: DataFrame | None) -> DataFrame:
+    """Adds ``complete``: whether ``got`` serials are all that the corpus has in the scope."""
+    whole = F.col("intent") == "boolean"
+    out = plans.join(entity_counts.select("entity", F.col("n").alias("__n")), "entity", "left")
     expected = F.col("__n")
     if property_counts is not None:
         out = out.withColumn("__p", F.coalesce(canonical_property(F.col("property_name")), F.lit("value"))).join(property_counts.select("entity", F.col("property").alias("__p"), F.col("n").alias("__m")), ["entity", "__p"], "left")
         expected = F.when(~whole & (F.col("property_scope") == "specific"), F.when(F.col("__n").isNotNull(), F.col("__m"))).otherwise(F.col("__n"))
-    return out.select("qid", F.coalesce(F.coalesce("got", F.lit(0)) == expected, F.lit(False)).alias("complete"))
+    return out.withColumn("complete", F.coalesce(F.coalesce("got", F.lit(0)) == expected, F.lit(False)))
 
 
 def _result(status: str, reason: str | None = None, **answer: Column) -> Column:
@@ -116,32 +145,49 @@ def _result(status: str, reason: str | None = None, **answer: Column) -> Column:
     return F.struct(*fields, F.lit(status).alias("status"), F.lit(reason).cast("string").alias("reason"))
 
 
+FACT = ("serial", "ord", "answer_entity", "fact_normal", "fact_text")
+
+
+def with_history(j: DataFrame) -> DataFrame:
+    """Adds what plans ask of ``__facts``, a sorted array of distinct facts: ends, collapsed states, distinct values.
+
+    Arrays that a lambda looks into are columns of their own, so that they are made once a row.
+    """
+    facts = F.col("__facts")
+    j = j.withColumn("__named", F.filter(facts, lambda x: x["fact_normal"] != ""))
+    j = j.withColumns({"__down": F.reverse("__named"), "norms": F.transform("__named", lambda x: x["fact_normal"])})
+    return j.withColumns({
+        "n_facts": F.size(facts),
+        "newest": F.array_max(F.transform(facts, lambda x: F.struct(x["serial"], (-x["ord"]).alias("o"), x["answer_entity"]))),
+        "last": F.get(F.reverse(facts), F.lit(0)),
+        "oldest": F.get(facts, F.lit(0)),
+        "states": F.filter("__down", lambda x, i: (i == 0) | (F.get("__down", i - 1)["fact_normal"] != x["fact_normal"])),
+        "vals": F.transform(F.filter("__named", lambda x, i: F.array_position("norms", x["fact_normal"]) == i + 1), lambda x: x["answer_entity"]),
+    })
+
+
 def execute(plans: DataFrame, candidates: DataFrame) -> DataFrame:
     """Runs plans (with ``complete``) over their candidates: (qid, answers, status, reason).
 
     The order of the abstentions: unsupported, ambiguous, no candidates (unless Boolean
-    and complete), then what the intent asks for.
+    and complete), then what the intent asks for. A plan's candidates, no more than
+    retrieval hands to a question, are gathered once into one sorted array.
     """
-    c = candidates.withColumn("__n", planner_normal(F.col("answer_entity")))
-    newest = Window.partitionBy("qid").orderBy(F.desc("serial"), F.desc("ord"))
-    s = c.where("__n <> ''").withColumn("__l", F.lag("__n").over(newest)).where("__l is null or __l <> __n")
-    states = s.withColumn("state", F.row_number().over(newest) - 1).groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("state", "answer_entity", "serial"))).alias("states"))
-    firsts = c.where("__n <> ''").groupBy("qid", "__n").agg(F.min(F.struct("serial", "ord", "answer_entity")).alias("f"))
-    values = firsts.groupBy("qid").agg(F.transform(F.array_sort(F.collect_list("f")), lambda x: x["answer_entity"]).alias("vals"), F.collect_set("__n").alias("norms"))
-    ends = c.groupBy("qid").agg(
-        F.count("*").alias("n_facts"),
-        F.max(F.struct("serial", (-F.col("ord")).alias("o"), "answer_entity")).alias("newest"),
-        F.max(F.struct("serial", "ord", "answer_entity")).alias("last"),
-        F.min(F.struct("serial", "ord", "answer_entity")).alias("oldest"),
-    )
-    j = plans.join(ends, "qid", "left").join(states, "qid", "left").join(values, "qid", "left")
+    c = candidates.withColumn("fact_normal", planner_normal(F.col("answer_entity")))
+    return answers(plans.join(c.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct(*FACT))).alias("__facts")), "qid", "left")).drop("intent", "complete")
+
+
+def answers(j: DataFrame) -> DataFrame:
+    """(qid, intent, complete, answers, status, reason) of plans beside their sorted ``__facts``."""
+    j = j.withColumn("__facts", F.coalesce("__facts", F.array().cast(j.schema["__facts"].dataType)))
+    j = with_history(j)
     intent, scope, complete = F.col("intent"), F.col("temporal_scope"), F.col("complete")
     k = F.when(scope == "previous", 1).otherwise(F.col("ordinal_offset"))
     prior = F.get("states", k)
-    vals = F.coalesce("vals", F.array().cast("array<string>"))
+    vals = F.col("vals")
     target = planner_normal(F.col("boolean_target"))
     match = F.coalesce(F.array_contains("norms", target), F.lit(False))
-    none = F.coalesce("n_facts", F.lit(0)) == 0
+    none = F.col("n_facts") == 0
     out = case(
         [
             (~F.col("supported"), _result("unsupported", "plan unsupported")),
@@ -164,7 +210,7 @@ def execute(plans: DataFrame, candidates: DataFrame) -> DataFrame:
         ],
         _result("unsupported", "unhandled intent"),
     )
-    return j.select("qid", out.alias("r")).select("qid", "r.*")
+    return j.select("qid", "intent", "complete", out.alias("r")).select("qid", "intent", "complete", "r.*")
 
 
 def execute_final(plans: DataFrame, retrieved: DataFrame, entity_counts: DataFrame, property_counts: DataFrame | None = None) -> DataFrame:
@@ -176,8 +222,17 @@ def execute_final(plans: DataFrame, retrieved: DataFrame, entity_counts: DataFra
     p = override(plans)
     whole = (F.col("intent") == "boolean") & (F.coalesce("entity", F.lit("")) != "") & (F.coalesce("boolean_target", F.lit("")) != "")
     p = p.withColumns({"property_scope": F.when(whole, "entity_wide_values").otherwise(F.col("property_scope")), "property_name": F.when(whole, F.lit(None)).otherwise(F.col("property_name")), "supported": whole | F.col("supported")})
-    p = p.join(history_complete(p, retrieved, entity_counts, property_counts), "qid")
-    return execute(p, deterministic_candidates(p, retrieved)).join(p.select("qid", "intent", "complete"), "qid")
+    wide = F.when(F.col("intent") == "boolean", "entity_wide_values").otherwise(F.col("property_scope"))
+    fact = F.struct(*FACT)
+    hit = about(p.select("qid", "entity", "property_scope", "property_name", "supported", wide.alias("__wide")), retrieved)
+    own, all_ = (in_scope(F.col(c), F.col("property_name"), F.col("fact_property")) for c in ("property_scope", "__wide"))
+    # one exchange: a plan's candidates, and the serials that its completeness counts, each no more than retrieval hands out
+    got = hit.groupBy("qid").agg(F.array_sort(F.collect_list(F.when(own, fact))).alias("__facts"), F.size(F.collect_set(F.when(all_, F.col("serial")))).alias("got"))
+    first = F.filter("__facts", lambda x, i: ~F.exists(F.slice(F.col("__facts"), 1, i), lambda y: (y["serial"] == x["serial"]) & (y["fact_text"] == x["fact_text"])))
+    j = p.join(got.withColumn("__facts", first), "qid", "left")
+    narrow = j.withColumns({"__scope": F.col("property_scope"), "property_scope": wide})
+    done = expected_met(narrow, entity_counts, property_counts).withColumn("property_scope", F.col("__scope"))
+    return answers(done)
 
 
 def rendered(result_columns: dict[str, str] | None = None) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from factlake.functions import text as X
 from factlake.operators import facts, symbolic, validation
 from factlake.plans.registry import query
-from factlake.plans.views import View
+from factlake.plans.views import ENTITY, View
 
 # SQL helpers. Patterns are RE2 there: look-arounds become alternatives.
 N = "array_to_string(regexp_extract_all(lower({0}), '[a-z0-9]+'), ' ')"
@@ -139,12 +139,12 @@ def property_canonical(v: View) -> DataFrame:
 
 
 RAW = """(SELECT p_partkey AS qid, CASE p_partkey % 4 WHEN 3 THEN 'not json {' WHEN 2 THEN '{"other": 1}' ELSE
-  '{"candidates": [{"serial": ' || (2 * p_partkey) || ', "fact_text": "' || p_name || ' was manufactured by ' || p_brand || '", "answer_entity": "' || (CASE WHEN p_partkey % 8 = 1 THEN 'nobody' ELSE p_brand END) || '"}, {"serial": ' || (2 * p_partkey + 1) || ', "fact_text": "' || p_name || ' has the genre of ' || p_type || '", "answer_entity": "' || p_type || '"}]}' END AS raw FROM part)"""
+  '{"candidates": [{"serial": ' || (2 * p_partkey) || ', "fact_text": "' || {entity} || ' was manufactured by ' || p_brand || '", "answer_entity": "' || (CASE WHEN p_partkey % 8 = 1 THEN 'nobody' ELSE p_brand END) || '"}, {"serial": ' || (2 * p_partkey + 1) || ', "fact_text": "' || {entity} || ' has the genre of ' || p_type || '", "answer_entity": "' || p_type || '"}]}' END AS raw FROM part)""".replace("{entity}", ENTITY)
 
 
 def raw_answers(v: View) -> DataFrame:
-    p = v.table("part")
-    name, brand, kind, k = (F.col(c) for c in ("p_name", "p_brand", "p_type", "p_partkey"))
+    p = v.part
+    name, brand, kind, k = (F.col(c) for c in ("entity", "p_brand", "p_type", "p_partkey"))
     good = F.concat(F.lit('{"candidates": [{"serial": '), (2 * k).cast("string"), F.lit(', "fact_text": "'), name, F.lit(" was manufactured by "), brand, F.lit('", "answer_entity": "'), F.when(k % 8 == 1, "nobody").otherwise(brand), F.lit('"}, {"serial": '), (2 * k + 1).cast("string"), F.lit(', "fact_text": "'), name, F.lit(" has the genre of "), kind, F.lit('", "answer_entity": "'), kind, F.lit('"}]}'))
     return p.select(k.alias("qid"), F.when(k % 4 == 3, "not json {").when(k % 4 == 2, '{"other": 1}').otherwise(good).alias("raw"))
 
@@ -221,7 +221,7 @@ def scope_filter(v: View) -> DataFrame:
 
 
 def retrieved(v: View) -> DataFrame:
-    return v.candidates.select("qid", "ord", "serial", F.col("fact_text").alias("text"))
+    return v.retrieved
 
 
 @query(
