@@ -1,8 +1,10 @@
 """Sparse, dense and fused retrieval for whole batches of queries.
 
 BM25 is an inverted index joined on terms: one row per (document, term) and one per
-(query, term), so documents without a query's terms are never touched. Scores are
-rounded to six places before ranking, and every ranking is total.
+(query, term), so documents without a query's terms are never touched. The index is
+written once a batch of queries; all statistics are read from it. Weights are summed as
+integers of 1e-9, so that a score doesn't depend on the order of its terms, rounded to six
+places before ranking, and every ranking is total.
 """
 
 from __future__ import annotations
@@ -11,14 +13,23 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factlake.functions.text import cosine, tokens
+from factlake.operators.layout import settled, spread
 
 K1, B, FLOOR = 1.5, 0.75, 0.25
+#: Steps of a summed weight.
+STEPS = 1_000_000_000
+#: Query terms of a batch that are sent to every task; more of them are joined by shuffling.
+MOST_TERMS = 200_000
 
 
 def postings(docs: DataFrame, doc: str, text: str) -> DataFrame:
-    """(term, doc, tf, dl): the index, aggregated per document before any join."""
+    """(term, doc, tf, dl): the index, aggregated per document before any join.
+
+    Documents are dealt by their id first: their terms then never move again, neither here
+    nor when the scores of a document are summed.
+    """
     # tokens and their number come below the explode, or they are computed for every token again
-    own = docs.select(doc, tokens(F.col(text)).alias("__t")).withColumn("dl", F.size("__t"))
+    own = spread(docs, doc).select(doc, tokens(F.col(text)).alias("__t")).withColumn("dl", F.size("__t"))
     words = own.select(doc, "dl", F.explode("__t").alias("term"))
     return words.groupBy("term", doc, "dl").agg(F.count("*").alias("tf"))
 
@@ -36,12 +47,14 @@ def bm25_scores(docs: DataFrame, queries: DataFrame, *, doc: str = "doc_id", tex
 
     A repeated query word counts each time.
     """
-    stats = docs.agg(F.count("*").alias("n"), F.coalesce(F.avg(F.size(tokens(F.col(text)))), F.lit(0.0)).alias("avgdl")).first()
-    index = postings(docs, doc, text)
+    index, n = settled(postings(docs, doc, text)), docs.count()
+    avgdl = (index.agg(F.sum("tf")).first()[0] or 0) / max(n, 1)
     terms = queries.select(qid, F.explode(tokens(F.col(query))).alias("term")).groupBy(qid, "term").agg(F.count("*").alias("qtf"))
-    hit = terms.join(index, "term").join(idf_table(index, stats["n"]), "term")
-    weight = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(float(stats["avgdl"] or 1.0))))
-    return hit.groupBy(qid, doc).agg(F.round(F.sum(weight * F.col("qtf")), 6).alias("score"))
+    terms = settled(terms.join(idf_table(index, n), "term"))
+    known = terms.count()
+    hit = index.join(F.broadcast(terms) if known <= MOST_TERMS else terms, "term")
+    weight = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(avgdl or 1.0)))
+    return hit.groupBy(qid, doc).agg(F.round(F.sum(F.col("qtf") * F.round(weight * STEPS).cast("long")) / STEPS, 6).alias("score"))
 
 
 def top_k(scored: DataFrame, k: int, *by: str, score: str = "score", tie: Column) -> DataFrame:

@@ -81,26 +81,31 @@ def override(plans: DataFrame) -> DataFrame:
 
 def in_scope(scope: Column, wanted: Column, fact_property: Column) -> Column:
     """Whether a fact's property is inside a plan's scope; ambiguous scopes have none."""
-    return case([(scope == "entity_wide_values", True), (scope == "specific", F.coalesce(canonical_property(fact_property) == canonical_property(wanted), F.lit(False)))], False)
+    return holds_scope(scope, canonical_property(wanted), canonical_property(fact_property))
+
+
+def holds_scope(scope: Column, wanted: Column, own: Column) -> Column:
+    """``in_scope`` of canonical properties."""
+    return case([(scope == "entity_wide_values", True), (scope == "specific", F.coalesce(own == wanted, F.lit(False)))], False)
 
 
 def parsed_facts(facts: DataFrame, text: str = "text") -> DataFrame:
-    """Adds what the planner reads in each fact: subject, answer_entity, fact_property and fact_normal.
+    """Adds what the planner reads in each fact: subject, answer_entity, fact_property, and both in normal form.
 
     Called on the facts before they meet questions, each is parsed once however many ask for it.
     """
     subject, value = parse_fact(F.col(text))
-    return facts.withColumns({"subject": subject, "answer_entity": value, "fact_property": planner_property(F.col(text))}).withColumn("fact_normal", planner_normal(F.col("answer_entity")))
+    return facts.withColumns({"subject": subject, "answer_entity": value, "fact_property": planner_property(F.col(text))}).withColumns({"fact_normal": planner_normal(F.col("answer_entity")), "fact_scope": canonical_property(F.col("fact_property"))})
 
 
-PARSED = ("subject", "answer_entity", "fact_property", "fact_normal")
+PARSED = ("subject", "answer_entity", "fact_property", "fact_normal", "fact_scope")
 
 
 def about(plans: DataFrame, retrieved: DataFrame) -> DataFrame:
     """The facts retrieved for each supported plan whose subject is its entity, beside the plan's scope."""
     r = retrieved if set(PARSED) <= set(retrieved.columns) else parsed_facts(retrieved)
     r = r.select("qid", "ord", "serial", F.col("text").alias("fact_text"), *PARSED)
-    p = plans.where("supported and entity is not null and entity <> ''")
+    p = plans.where("supported and entity is not null and entity <> ''").withColumn("__wanted", canonical_property(F.col("property_name")))
     return r.join(p, "qid").where((F.col("subject") == F.col("entity")) & (F.col("answer_entity") != ""))
 
 
@@ -111,7 +116,7 @@ def deterministic_candidates(plans: DataFrame, retrieved: DataFrame) -> DataFram
     done already. Adds (answer_entity, fact_property).
     """
     hit = about(plans.select("qid", "entity", "property_scope", "property_name", "supported"), retrieved)
-    hit = hit.where(in_scope(F.col("property_scope"), F.col("property_name"), F.col("fact_property")))
+    hit = hit.where(holds_scope(F.col("property_scope"), F.col("__wanted"), F.col("fact_scope")))
     return hit.groupBy("qid", "serial", "fact_text").agg(F.min("ord").alias("ord"), F.first("answer_entity").alias("answer_entity"), F.first("fact_property").alias("fact_property"))
 
 
@@ -225,7 +230,7 @@ def execute_final(plans: DataFrame, retrieved: DataFrame, entity_counts: DataFra
     wide = F.when(F.col("intent") == "boolean", "entity_wide_values").otherwise(F.col("property_scope"))
     fact = F.struct(*FACT)
     hit = about(p.select("qid", "entity", "property_scope", "property_name", "supported", wide.alias("__wide")), retrieved)
-    own, all_ = (in_scope(F.col(c), F.col("property_name"), F.col("fact_property")) for c in ("property_scope", "__wide"))
+    own, all_ = (holds_scope(F.col(c), F.col("__wanted"), F.col("fact_scope")) for c in ("property_scope", "__wide"))
     # one exchange: a plan's candidates, and the serials that its completeness counts, each no more than retrieval hands out
     got = hit.groupBy("qid").agg(F.array_sort(F.collect_list(F.when(own, fact))).alias("__facts"), F.size(F.collect_set(F.when(all_, F.col("serial")))).alias("got"))
     first = F.filter("__facts", lambda x, i: ~F.exists(F.slice(F.col("__facts"), 1, i), lambda y: (y["serial"] == x["serial"]) & (y["fact_text"] == x["fact_text"])))

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from factlake.operators import symbolic
+from factlake.operators.layout import spread
 
 #: Question templates; {e} is an entity, {v} a value, {p} a property noun.
 TEMPLATES = (
@@ -47,7 +48,7 @@ class View:
     @cached_property
     def part(self) -> DataFrame:
         """The part table with an entity for each part."""
-        return self.table("part").withColumn("entity", F.concat("p_name", F.lit(" "), F.floor(F.col("p_partkey") / PARTS).cast("long").cast("string")))
+        return spread(self.table("part")).withColumn("entity", F.concat("p_name", F.lit(" "), F.floor(F.col("p_partkey") / PARTS).cast("long").cast("string")))
 
     @cached_property
     def fact_log(self) -> DataFrame:
@@ -107,16 +108,19 @@ class View:
     @cached_property
     def retrieved(self) -> DataFrame:
         """The same facts as texts, each parsed once before it meets its questions."""
-        facts = symbolic.parsed_facts(self.newest.select("entity", "ord", "serial", F.col("fact_text").alias("text")))
+        facts = newest_of(symbolic.parsed_facts(self.facts.select("entity", "ord", "serial", F.col("fact_text").alias("text"))))
         return self.questions.select("qid", "entity").join(facts, "entity").drop("entity")
 
     @cached_property
     def newest(self) -> DataFrame:
         """The ``RETRIEVED`` newest facts of every entity."""
-        newest = Window.partitionBy("entity").orderBy(F.desc("serial"))
+        return newest_of(self.facts)
+
+    @cached_property
+    def facts(self) -> DataFrame:
+        """Every fact beside its sentence."""
         text = F.concat("entity", F.when(F.col("property") == "genre", " has the genre of ").otherwise(" was manufactured by "), "value")
-        f = self.parsed.withColumn("__rn", F.row_number().over(newest)).where(F.col("__rn") <= RETRIEVED)
-        return f.select("entity", "serial", "ord", text.alias("fact_text"), F.col("value").alias("answer_entity"))
+        return self.parsed.select("entity", "serial", "ord", text.alias("fact_text"), F.col("value").alias("answer_entity"))
 
     @cached_property
     def plans(self) -> DataFrame:
@@ -151,6 +155,11 @@ class View:
         return j.select("row_id", F.col("k").alias("qid"), "arm", "intent", "gold", answer.alias("answer"), (F.col("k") % 3 != 0).alias("verified"), F.round("o_totalprice", 2).alias("cost"))
 
 
+def newest_of(facts: DataFrame) -> DataFrame:
+    newest = Window.partitionBy("entity").orderBy(F.desc("serial"))
+    return facts.withColumn("__rn", F.row_number().over(newest)).where(F.col("__rn") <= RETRIEVED).drop("__rn")
+
+
 def _sql_list(items) -> str:
     return "[" + ", ".join("'" + x.replace("'", "''") + "'" for x in items) + "]"
 
