@@ -152,7 +152,10 @@ def dedup(df: DataFrame, *, threshold: float = 0.95, vec: str = "vec_id", vector
     classes = rows.where("h is not null").groupBy("h").agg(F.count("*").alias("n"), F.min("id").alias("least"), F.first("v").alias("v"))
     classes = classes.withColumn("c", F.monotonically_increasing_id()).withColumn("dim", F.size("v"))
     classes = checkpoint(classes)
-    blocks = F.ceil(F.col("m") / F.greatest(F.lit(1), F.least(F.lit(block), F.floor(BLOCK_BYTES / (8 * F.col("dim")))))).cast("int")
+    # smaller blocks for a small table, so that there are as many tiles as shuffle partitions
+    some = math.ceil(math.sqrt(2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    rows_each = F.least(F.lit(block), F.floor(BLOCK_BYTES / (8 * F.col("dim"))), F.greatest(F.lit(256), F.ceil(F.col("m") / some)))
+    blocks = F.ceil(F.col("m") / F.greatest(F.lit(1), rows_each)).cast("int")
     widths = checkpoint(classes.groupBy("dim").agg(F.count("*").alias("m")).withColumn("blocks", blocks))
     dealt = dealt_join(classes, widths, ["dim"], "m", classes.count(), ("h",)).withColumn("blk", F.pmod(F.xxhash64("h"), F.col("blocks")).cast("int"))
     partner = F.sequence(F.lit(0), F.col("blocks") - 1)
