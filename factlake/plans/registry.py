@@ -26,4 +26,4 @@ def query(sql: str | None = None, *views: str):
 
 def load() -> None:
     """Imports the modules that register queries."""
-    from factlake.plans import answering, history, retrieval, scoring, text  # noqa: F401
+    from factlake.plans import answering, checks, history, retrieval, scoring, text  # noqa: F401

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,8 +14,22 @@ def append_json(df: DataFrame, path: str) -> None:
 
 
 def replace_json(df: DataFrame, path: str) -> None:
-    """Replaces the rows at ``path`` at once."""
-    df.write.mode("overwrite").json(path)
+    """Replaces the rows at ``path``: written whole beside it, then put in its place by renaming.
+
+    A failed write leaves the old rows. Between the two renames a reader finds nothing at
+    ``path``, never half of it; the old rows go last.
+    """
+    jvm, conf = df.sparkSession.sparkContext._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration()
+    new, old, here = (jvm.org.apache.hadoop.fs.Path(path + x) for x in (f".new-{uuid.uuid4().hex}", f".old-{uuid.uuid4().hex}", ""))
+    df.write.json(new.toString())
+    fs = here.getFileSystem(conf)
+    had = fs.exists(here)
+    if had and not fs.rename(here, old):
+        raise OSError(f"{path} can't be moved")
+    if not fs.rename(new, here):
+        raise OSError(f"{path} can't be replaced")
+    if had:
+        fs.delete(old, True)
 
 
 def csv(df: DataFrame, path: str) -> None:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from factlake.functions import scoring as S
 from factlake.functions import text as X
-from factlake.operators import facts, history, hops, retrieval, symbolic, validation
+from factlake.operators import checks, facts, history, hops, retrieval, symbolic, validation
 
 CITIES = [(1, "Chennai"), (2, "Delhi"), (3, "Vellore"), (4, "DELHI.")]
 
@@ -180,3 +180,21 @@ def test_hops(spark):
     row = spark.createDataFrame([("of {hop_1_answer} and {hop_2_answer}", "x", None)], "q string, a string, b string")
     known = {1: F.col("a"), 2: F.col("b")}
     assert row.select(hops.substitute(F.col("q"), known), hops.missing(F.col("q"), known)).first() == ("of x and ", 2)
+
+
+def test_checked_join_refuses_missing_partners(spark):
+    left = spark.createDataFrame([(1, "a"), (2, "b")], "k long, x string")
+    right = spark.createDataFrame([(1, 10), (3, 30)], "k long, y long")
+    assert [tuple(r) for r in checks.checked_join(left.where("k = 1"), right, ["k"]).collect()] == [(1, "a", 10)]
+    with pytest.raises(Exception, match="no partner for"):
+        checks.checked_join(left, right, ["k"]).collect()
+
+
+def test_plans_see_each_fact_once(spark):
+    """Repeated texts of one serial count once, whatever the number of times they were retrieved."""
+    plan = spark.createDataFrame([(1, "How many values were recorded for X?", "aggregation", "X", "entity_wide_values", None, "unspecified", None, "count", None, False, True, "")], "qid long, question string, intent string, entity string, property_scope string, property_name string, temporal_scope string, ordinal_offset int, aggregation_mode string, boolean_target string, negated boolean, supported boolean, reason string")
+    facts_ = [(1, 3, 1, "X was created by B"), (1, 0, 0, "X was created by A"), (1, 1, 0, "X was created by A"), (1, 4, 2, "X was created by b."), (1, 5, 9, "Y was created by C")]
+    retrieved = spark.createDataFrame(facts_, "qid long, ord long, serial long, text string")
+    n = spark.createDataFrame([("X", 3)], "entity string, n long")
+    out = symbolic.execute_final(plan, retrieved, n).first()
+    assert (out.status, out.answer_int, out.answer_list, out.complete) == ("answered", 2, ["A", "B"], True)
