@@ -191,7 +191,7 @@ def mine(df: DataFrame, anchor: Column, *, positives: int = 5, negatives: int =
     x = F.col(vector).cast("array<double>")
     usable = F.coalesce(F.forall(x, lambda e: F.coalesce(~F.isnan(e) & (F.abs(e) < 8e6), F.lit(False))), F.lit(False)) & F.col(vec).isNotNull() & F.col(label).isNotNull()
     whole = F.transform(x, lambda e: F.floor(F.lit(scale) * e).cast("int"))
-    rows = df.where(usable).select(F.col(vec).cast("long").alias("id"), F.col(label).cast("long").alias("label"), whole.alias("v"), F.coalesce(anchor, F.lit(False)).alias("anchor"))
+    rows = df.select(F.col(vec).cast("long").alias("id"), F.col(label).cast("long").alias("label"), F.when(usable, whole).alias("v"), F.coalesce(anchor, F.lit(False)).alias("anchor")).where("v is not null")
     largest = F.aggregate("v", F.lit(0), lambda a, e: F.greatest(a, F.abs(e))).cast("double")
     rows = rows.where(F.size("v") * largest * largest < float(1 << 55))
     rows = checkpoint(rows.withColumn("dim", F.size("v")).withColumn("u", F.monotonically_increasing_id()))
