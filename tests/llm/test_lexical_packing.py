@@ -20,14 +20,38 @@ def whole(texts):
     return [[*t.encode(x or "", add_special_tokens=False).ids, 2] for x in texts]
 
 
-def test_words_merge_as_in_the_library():
+@pytest.mark.parametrize("by_rank", [True, False])
+def test_words_merge_as_in_the_library(by_rank):
     points = [*range(1, 0x3100), *range(0xD000, 0xD7FF, 7), *range(0xE000, 0x10000, 11), *range(0x10000, 0x20000, 41)]
-    texts = [" ".join(f"Ab{chr(c)}c {chr(c)} X{chr(c)}, e{chr(c)}́ don't 12{chr(c)}" for c in points[k : k + 40]) for k in range(0, len(points), 40)]
-    texts += ["It's We'LL ÉCOLE, straße!? <|endoftext|>x a<|startoftext|> a\x1cb \x85 \xa0z", "İΣ ΑΣ ς", "", " ", "naïve... (x)", "é ́e", "a​b﻿c"]
+    texts = [" ".join(f"Ab{chr(c)}c {chr(c)} X{chr(c)}, e{chr(c)}\u0301 don't 12{chr(c)}" for c in points[k : k + 40]) for k in range(0, len(points), 40)]
+    texts += ["It's We'LL ÉCOLE, straße!? <|endoftext|>x a<|startoftext|> a\x1cb \x85 \xa0z", "İΣ ΑΣ ς", "", None, " ", "naïve... (x)", "é \u0301e", "a\u200bb\ufeffc", "a\x01b \x01"]
+    rng = np.random.default_rng(1)
+    alphabet = list("etaoinshrdlucmfwypvbgkjqxzéèçñóíüöäß")
+    texts += [" ".join("".join(rng.choice(alphabet, rng.integers(1, 14))) + rng.choice(["", ",", "."]) for _ in range(200)) for _ in range(100)]
+    words = L.WordBpe(WORDS, by_rank)
+    assert words.by_words and bool(words.bulk) == by_rank
+    for text, own, ids in zip(texts, words.encode(texts), whole(texts), strict=True):
+        assert np.frombuffer(own, words.kind).tolist() == ids[:-1], text
+
+
+def test_tokens_merge_to_themselves():
     words = L.WordBpe(WORDS)
-    assert words.by_words
-    for text, ids in zip(texts, whole(texts), strict=True):
-        assert np.frombuffer(words.encode(text), words.kind).tolist() == ids[:-1], text
+    assert words.ranked()
+    tokens = sorted(t.removesuffix(L.END) for t in words.spec["vocab"] if t.endswith(L.END) and t.removesuffix(L.END).isascii() and t.removesuffix(L.END).isalpha() and t.islower())
+    ids = [x.ids for x in words.tokenizer.encode_batch(tokens, add_special_tokens=False)]
+    assert [i for i, t in zip(ids, tokens, strict=True) if i != [words.spec["vocab"][t + L.END]]] == []
+    rank = {("a", "b"): 0, ("b", "c"): 1, ("a", "bc"): 2}
+    assert not L.merges_to_itself("abc", rank)  # ab goes first
+
+
+def test_words_are_forgotten_in_time(monkeypatch):
+    monkeypatch.setattr(L, "KNOWN_WORDS", 40)
+    words = L.WordBpe(WORDS, True)
+    texts = [" ".join(f"w{chr(97 + i % 26)}{chr(97 + j)}" for j in range(20)) for i in range(30)]
+    for k in range(0, 30, 3):
+        got = words.encode(texts[k : k + 3])
+        assert [np.frombuffer(x, words.kind).tolist() for x in got] == [i[:-1] for i in whole(texts[k : k + 3])]
+        assert len(words.known) <= 60
 
 
 def brute_scores(docs, query, df, n, mean):
