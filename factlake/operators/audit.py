@@ -86,13 +86,20 @@ def gold_audit(questions: DataFrame, parsed: DataFrame) -> DataFrame:
 def find_targets(questions: DataFrame, catalog: DataFrame, value: str = "v") -> DataFrame:
     """(qid, target, status): the one longest catalog value inside each question.
 
-    Values meet questions by their first word, then the whole run of words is tested.
+    Runs of words meet values by an equi-join, in the lengths that the catalog has (a row
+    each), so words that many values share make no more rows.
     """
     norm = planner_normal
-    c = catalog.select(F.col(value).alias("v"), norm(F.col(value)).alias("vn")).where(F.length("vn") >= 3).withColumn("__w", F.split("vn", " ")[0])
-    q = questions.select("qid", norm(F.col("question")).alias("qn"), norm(F.col("entity")).alias("en"))
-    words = q.select("qid", "qn", "en", F.explode(F.array_distinct(F.split("qn", " "))).alias("__w"))
-    hit = words.join(c, "__w").where((F.col("vn") != F.col("en")) & F.concat(F.lit(" "), "qn", F.lit(" ")).contains(F.concat(F.lit(" "), "vn", F.lit(" "))))
+    c = catalog.select(F.col(value).alias("v"), norm(F.col(value)).alias("vn")).where(F.length("vn") >= 3)
+    lengths = sorted(r[0] for r in c.select(F.size(F.split("vn", " ")).alias("n")).distinct().collect())
+    q = questions.select("qid", F.split(norm(F.col("question")), " ").alias("qw"), norm(F.col("entity")).alias("en"))
+
+    def runs(n: int) -> Column:
+        each = F.transform(F.sequence(F.lit(1), F.size("qw") - n + 1), lambda i: F.array_join(F.slice("qw", i, F.lit(n)), " "))
+        return F.when(F.size("qw") >= n, each).otherwise(F.array())
+
+    words = q.select("qid", "en", F.explode(F.array_distinct(F.concat(F.array().cast("array<string>"), *map(runs, lengths)))).alias("vn"))
+    hit = words.where(F.col("vn") != F.col("en")).join(c, "vn")
     same = hit.groupBy("qid", F.length("vn").alias("l")).agg(F.count_distinct("v").alias("k"), F.min("v").alias("v"))
     best = same.groupBy("qid").agg(F.max(F.struct("l", "k", "v")).alias("b"))
     j = questions.select("qid").join(best, "qid", "left")

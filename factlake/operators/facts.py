@@ -5,34 +5,54 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from factlake.functions.text import fact_text
+from factlake.functions.text import EXPLICIT, FALLBACK, FLAGS, fact_text, parse_generated
 
 LEGACY = r"(\d+)\.\s"
 ANCHORED = r"(?m)^[ \t]*(\d+)\.\s"
 
 
-def _pieces(contexts: DataFrame, context: str, pattern: str) -> DataFrame:
-    """(serial, context_order, offset of the boundary, text) for every boundary."""
+#: Sizes added up at once in ``running``; a list costs its length times this, not its square.
+STEP = 128
+
+
+def running(sizes: Column) -> Column:
+    """For an array of integers the sums of all elements before each, in two levels of steps."""
+    before = lambda a: F.slice(F.aggregate(a, F.array(F.lit(0)), lambda sums, x: F.concat(sums, F.array(F.element_at(sums, -1) + x))), F.lit(1), F.size(a))
+    steps = F.transform(F.sequence(F.lit(1), F.greatest(F.size(sizes), F.lit(1)), F.lit(STEP)), lambda i: F.slice(sizes, i, F.lit(STEP)))
+    starts = before(F.transform(steps, lambda step: F.aggregate(step, F.lit(0), lambda a, x: a + x)))
+    return F.flatten(F.zip_with(steps, starts, lambda step, start: F.transform(before(step), lambda x: x + start)))
+
+
+def boundaries(contexts: DataFrame, context: str, pattern: str, name: str) -> DataFrame:
+    """Adds ``name``: an array of (serial, offset, text), one for every boundary of a document.
+
+    Everything is worked out once a document, in time linear in its length.
+    """
     c = F.col(context)
-    numbers = F.regexp_extract_all(c, F.lit(pattern), F.lit(1))
-    marks = F.regexp_extract_all(c, F.lit(pattern), F.lit(0))
-    parts = F.split(c, pattern)
+    cut = contexts.withColumns({"__n": F.regexp_extract_all(c, F.lit(pattern), F.lit(1)), "__m": F.regexp_extract_all(c, F.lit(pattern), F.lit(0)), "__p": F.split(c, pattern)})
+    sizes = F.zip_with("__m", F.slice("__p", F.lit(2), F.size("__m")), lambda m, p: F.length(m) + F.length(p))
+    cut = cut.withColumn("__s", sizes).withColumn("__o", running(F.col("__s"))).withColumn("__p1", F.slice("__p", F.lit(2), F.size("__m")))
+    first = F.length(F.get("__p", F.lit(0)))
+    zipped = F.transform(F.arrays_zip("__n", "__o", "__p1"), lambda x: F.struct(x["__n"].cast("long").alias("serial"), (first + x["__o"]).alias("offset"), fact_text(x["__p1"]).alias("text")))
+    return cut.withColumn(name, zipped).drop("__n", "__m", "__p", "__s", "__o", "__p1")
+
+
+def _parsed(contexts: DataFrame, context: str, pattern: str) -> DataFrame:
+    """(serial, context_order, offset of the boundary, text) for every boundary, beside the other columns."""
     keep = [x for x in contexts.columns if x != context]
-    cut = contexts.select(*keep, marks.alias("__m"), parts.alias("__p"), numbers.alias("__all"))  # once a document
-    rows = cut.select(*keep, "__m", "__p", F.posexplode("__all").alias("context_order", "__n"))
-    before = F.aggregate(F.slice("__p", 1, F.col("context_order") + 1), F.lit(0), lambda a, x: a + F.length(x))
-    marked = F.when(F.col("context_order") > 0, F.aggregate(F.slice("__m", 1, F.greatest(F.col("context_order"), F.lit(1))), F.lit(0), lambda a, x: a + F.length(x))).otherwise(0)
-    return rows.select(*keep, F.col("__n").cast("long").alias("serial"), "context_order", (before + marked).alias("offset"), fact_text(F.get("__p", F.col("context_order") + 1)).alias("text"))
+    # an outer one: of a plain explode Spark would test the size of its array first, with all that makes it worked out again in there
+    found = boundaries(contexts, context, pattern, "__facts").select(*keep, F.posexplode_outer("__facts").alias("context_order", "__f"))
+    return found.where("context_order is not null").select(*keep, "__f.serial", "context_order", "__f.offset", "__f.text")
 
 
 def parse_legacy(contexts: DataFrame, context: str = "context") -> DataFrame:
     """Every ``<digits>. `` begins a fact, also inside a line; empty texts stay."""
-    return _pieces(contexts, context, LEGACY)
+    return _parsed(contexts, context, LEGACY)
 
 
 def parse_anchored(contexts: DataFrame, context: str = "context") -> DataFrame:
-    """Only a number at the start of a line begins a fact."""
-    return _pieces(contexts, context, ANCHORED)
+    """Only a number at the start of a line begins a fact; its offset is that of the line's first blank or digit."""
+    return _parsed(contexts, context, ANCHORED)
 
 
 def dedupe_first(facts: DataFrame, *keys: str) -> DataFrame:
@@ -49,27 +69,64 @@ def chunk_fixed(df: DataFrame, text: str, width: int = 4096) -> DataFrame:
     return df.select(*keep, text, at.alias("chunk")).select(*keep, "chunk", F.substring(F.col(text), F.col("chunk") * width + 1, F.lit(width)).alias("chunk_text"))
 
 
+def _both(contexts: DataFrame, context: str) -> DataFrame:
+    """Adds the boundaries of either parser, and those only legacy has: no line starts at their offset."""
+    both = boundaries(boundaries(contexts, context, LEGACY, "legacy"), context, ANCHORED, "anchored")
+    offsets = F.array_except(F.transform("legacy", lambda x: x["offset"]), F.transform("anchored", lambda x: x["offset"]))
+    return both.withColumn("only_legacy", offsets)
+
+
 def boundary_audit(contexts: DataFrame, key: str, context: str = "context") -> DataFrame:
-    """Per document: boundaries of either parser, those only legacy has, empties, duplicates."""
-    legacy, anchored = parse_legacy(contexts, context), parse_anchored(contexts, context)
-    starts = anchored.select(key, F.col("serial"), F.lit(1).alias("__a"), "text")
-    loose = legacy.select(key, "serial", "text")
-    only = loose.join(starts.select(key, "serial").distinct(), [key, "serial"], "left_anti").groupBy(key).agg(F.count("*").alias("only_legacy"))
-    a = starts.groupBy(key).agg(F.count("*").alias("n_anchored"), (F.count("*") - F.countDistinct("serial")).alias("duplicate_serials"), F.sum((F.col("text") == "").cast("long")).alias("empty_texts"))
-    n = loose.groupBy(key).agg(F.count("*").alias("n_legacy"))
-    return contexts.select(key).join(n, key, "left").join(a, key, "left").join(only, key, "left").na.fill(0, ["n_legacy", "n_anchored", "duplicate_serials", "empty_texts", "only_legacy"])
+    """Per document: boundaries of either parser, those only legacy has, empties, duplicates, unparsed facts.
+
+    A row looks at its own document only, so nothing is joined or shuffled.
+    """
+    serials = F.transform("anchored", lambda x: x["serial"])
+    size = lambda c: F.coalesce(F.size(c), F.lit(0)).cast("long")
+    return _both(contexts.select(key, context), context).select(
+        key, size("legacy").alias("n_legacy"), size("anchored").alias("n_anchored"),
+        (size(serials) - size(F.array_distinct(serials))).alias("duplicate_serials"),
+        size(F.filter("anchored", lambda x: x["text"] == "")).alias("empty_texts"),
+        size("only_legacy").alias("only_legacy"),
+        size(F.filter("anchored", lambda x: ~x["text"].rlike(FLAGS + EXPLICIT) & ~x["text"].rlike(FLAGS + FALLBACK))).alias("unparsed"),
+    )
 
 
-def prefix_join(facts: DataFrame, entities: DataFrame, text: str = "text", entity: str = "entity") -> DataFrame:
-    """Facts whose text starts with an entity and a space.
+def false_boundaries(contexts: DataFrame, key: str, context: str = "context", before: int = 48, after: int = 80) -> DataFrame:
+    """(key, pseudo_serial, offset, snippet): legacy boundaries that begin no line, with what stands around them."""
+    only = _both(contexts.select(key, context), context).select(key, context, F.explode_outer(F.filter("legacy", lambda x: F.array_contains("only_legacy", x["offset"]))).alias("b")).where("b is not null")
+    start = F.greatest(F.col("b.offset") - before, F.lit(0))
+    return only.select(key, F.col("b.serial").alias("pseudo_serial"), "b.offset", F.substring(F.col(context), start + 1, F.col("b.offset") + after - start).alias("snippet"))
+
+
+def unparsed_facts(contexts: DataFrame, key: str, context: str = "context") -> DataFrame:
+    """(key, serial, fact_text) of line-start facts that no template takes apart."""
+    subject, _, _ = parse_generated(F.col("text"))
+    return parse_anchored(contexts.select(key, context), context).where(subject.isNull()).select(key, "serial", F.col("text").alias("fact_text"))
+
+
+def prefixes(facts: DataFrame, entities: DataFrame, text: str = "text", entity: str = "entity") -> DataFrame:
+    """Facts beside each beginning of theirs that has as many words as some entity, in the column ``entity``.
 
-    An equi-join on the first word with the prefix test behind it, in place of testing
-    every pair.
+    The numbers of words come from the catalog (a row each), so a fact yields as many
+    rows as there are such numbers, whatever the entities share.
     """
-    first = lambda c: F.split(F.col(c), " ")[0]
-    e = entities.select(F.col(entity).alias(entity), first(entity).alias("__w")).distinct()
-    f = facts.withColumn("__w", first(text))
-    return f.join(e, "__w").where(F.startswith(F.col(text), F.concat(F.col(entity), F.lit(" ")))).drop("__w")
+    words = entities.select((F.length(entity) - F.length(F.replace(F.col(entity), F.lit(" ")))).alias("n")).where("n is not null").distinct()
+    counts = sorted(r[0] + 1 for r in words.collect())
+    spaces = F.length(text) - F.length(F.replace(F.col(text), F.lit(" ")))
+    begin = F.array_compact(F.array(*[F.when(spaces >= k, F.substring_index(F.col(text), " ", k)) for k in counts]).cast("array<string>"))
+    return facts.withColumn(entity, F.explode(begin))
+
+
+def prefix_join(facts: DataFrame, entities: DataFrame, text: str = "text", entity: str = "entity") -> DataFrame:
+    """Facts whose text starts with an entity and a space: an equi-join on the whole beginning."""
+    return prefixes(facts, entities, text, entity).join(entities.select(entity).distinct(), entity)
+
+
+def prefix_counts(facts: DataFrame, entities: DataFrame, text: str = "text", entity: str = "entity") -> DataFrame:
+    """(entity, n_raw): facts that start with each entity, counted before they meet the entities."""
+    n = prefixes(facts.select(text), entities, text, entity).groupBy(entity).agg(F.count("*").alias("n_raw"))
+    return n.join(entities.select(entity).distinct(), entity)
 
 
 def corpus_stats(tokens: Column, df: DataFrame) -> DataFrame:

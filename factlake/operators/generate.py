@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factlake.functions.text import question_property
-from factlake.operators import history
+from factlake.functions.text import planner_normal, question_property
+from factlake.operators import history, ranks
 
 HISTORICAL = ("Which value did {entity} start with?", "Name the opening entry for {entity}.", "At the very start, what stood for {entity}?")
 AGGREGATION = ("How many separate values does {entity} have?", "Give the size of the value set of {entity}.")
@@ -41,11 +41,10 @@ def benchmark(facts: DataFrame) -> DataFrame:
     """(entity, intent, question, gold): three questions for every conflicting entity.
 
     Templates go round by the entity's place among the most conflicting ones; Booleans
-    are true and false in turn, false ones about a value nobody has. One row an entity
-    is numbered by one task, after aggregation.
+    are true and false in turn, false ones about a value nobody has.
     """
     known = history.conflicting(facts, "entity").join(history.earliest(facts, "entity"), "entity")
-    g = known.select("entity", "value", "n_distinct", (F.row_number().over(Window.orderBy(F.desc("n_distinct"), "entity")) - 1).alias("g"))
+    g = ranks.numbered(known.select("entity", "value", "n_distinct"), F.desc("n_distinct"), "entity", name="g")
     true = F.col("g") % 2 == 0
     rows = [
         F.struct(F.lit("historical").alias("intent"), _fill(_pick(HISTORICAL, F.col("g")), entity=F.col("entity"), value=F.col("value")).alias("question"), F.col("value").alias("gold")),
@@ -61,3 +60,35 @@ def rewrite(questions: DataFrame, families: dict[str, tuple[str, ...]]) -> DataF
     family = F.when(F.col("intent") == "historical", "historical").otherwise(F.concat("intent", F.when(F.col("qp") == "value", "_generic").otherwise("_specific")))
     text = F.coalesce(*[F.when(family == k, _pick(t, F.col("qid"))) for k, t in families.items()])
     return q.select("qid", _fill(text, prop=F.col("qp"), entity=F.col("entity"), target=F.coalesce("target", F.lit(""))).alias("rewritten"))
+
+
+#: How a question asks for a state by its place, the newest being the first.
+RANKED = ("Newest to oldest, which {prop} of {entity} is at place {rank}?", "Count {entity}'s {prop} states back from today; name state {rank}.", "Which {prop} holds place {rank} in the reversed record of {entity}?")
+
+
+def rank_questions(questions: DataFrame, states: DataFrame) -> DataFrame:
+    """(qid, rewritten, rank): historical questions asked by the place of their gold answer.
+
+    ``states`` has (entity, state, value) from new to old; the newest state whose normal form is
+    the gold's counts. Questions whose gold is no state are left out.
+    """
+    q = questions.where("intent = 'historical'").select("qid", "entity", question_property(F.col("question")).alias("qp"), planner_normal(F.col("gold")).alias("__g"))
+    s = states.select("entity", "state", planner_normal(F.col("value")).alias("__g"))
+    places = q.join(s, ["entity", "__g"]).groupBy("qid", "entity", "qp").agg((F.min("state") + 1).alias("rank"))
+    return places.select("qid", _fill(_pick(RANKED, F.col("qid")), prop=F.col("qp"), entity=F.col("entity"), rank=F.col("rank").cast("string")).alias("rewritten"), "rank")
+
+
+def recover_targets(questions: DataFrame, wordings: tuple[str, ...]) -> DataFrame:
+    """(qid, target) from questions (qid, question, entity, qp) in any of the fixed wordings; null where none fits.
+
+    A wording's words before and behind the target are filled with the row's own entity and property;
+    of several that fit, the one with the most fixed text counts.
+    """
+    found = []
+    for wording in wordings:
+        before, _, behind = wording.partition("{target}")
+        a, b = (_fill(F.lit(x), prop=F.col("qp"), entity=F.col("entity")) for x in (before, behind))
+        q, fixed = F.col("question"), F.length(a) + F.length(b)
+        target = F.substring(q, F.length(a) + 1, F.length(q) - fixed)
+        found.append(F.when(q.startswith(a) & q.endswith(b) & (F.length(q) > fixed), F.struct(fixed.alias("fixed"), target.alias("target"))))
+    return questions.select("qid", F.array_max(F.array_compact(F.array(*found)))["target"].alias("target"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes a core beyond which an input has splits enough of its own.
 SPLIT_BYTES = 16 << 20
@@ -23,15 +23,21 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(*keys) if keys else df
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """Writes ``df`` to the shared checkpoint folder: it is read more than once.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all machines see: ``spark.checkpoint.dir``.
 
-    The folder is that of ``spark.checkpoint.dir``, or lies below the warehouse where
-    that is unset.
+    Only a session on one machine may leave it unset; one below the warehouse is taken there.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and context.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         context.setCheckpointDir(named or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/checkpoints")
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """Writes ``df`` to the shared folder and reads it from there: it is read more than once."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)

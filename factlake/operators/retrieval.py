@@ -1,10 +1,6 @@
-"""Sparse, dense and fused retrieval for whole batches of queries.
+"""Rankings, fusion and relevance on top of the kept index and the dense search.
 
-BM25 is an inverted index joined on terms: one row per (document, term) and one per
-(query, term), so documents without a query's terms are never touched. The index is
-written once a batch of queries; all statistics are read from it. Weights are summed as
-integers of 1e-9, so that a score doesn't depend on the order of its terms, rounded to six
-places before ranking, and every ranking is total.
+Scores are rounded to six places before ranking, and every ranking is total.
 """
 
 from __future__ import annotations
@@ -12,49 +8,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from factlake.functions.text import cosine, tokens
-from factlake.operators.layout import settled, spread
-
-K1, B, FLOOR = 1.5, 0.75, 0.25
-#: Steps of a summed weight.
-STEPS = 1_000_000_000
-#: Query terms of a batch that are sent to every task; more of them are joined by shuffling.
-MOST_TERMS = 200_000
-
-
-def postings(docs: DataFrame, doc: str, text: str) -> DataFrame:
-    """(term, doc, tf, dl): the index, aggregated per document before any join.
-
-    Documents are dealt by their id first: their terms then never move again, neither here
-    nor when the scores of a document are summed.
-    """
-    # tokens and their number come below the explode, or they are computed for every token again
-    own = spread(docs, doc).select(doc, tokens(F.col(text)).alias("__t")).withColumn("dl", F.size("__t"))
-    words = own.select(doc, "dl", F.explode("__t").alias("term"))
-    return words.groupBy("term", doc, "dl").agg(F.count("*").alias("tf"))
-
-
-def idf_table(index: DataFrame, n_docs: int) -> DataFrame:
-    """(term, idf); negative ones become a quarter of the mean idf of the vocabulary."""
-    df = index.groupBy("term").agg(F.count("*").alias("df"))
-    raw = df.withColumn("raw", F.log(F.lit(n_docs) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    mean = raw.agg(F.avg("raw").alias("mean"))
-    return raw.crossJoin(F.broadcast(mean)).select("term", F.when(F.col("raw") < 0, FLOOR * F.col("mean")).otherwise(F.col("raw")).alias("idf"))  # mean is one row
-
-
-def bm25_scores(docs: DataFrame, queries: DataFrame, *, doc: str = "doc_id", text: str = "text", qid: str = "qid", query: str = "query") -> DataFrame:
-    """(qid, doc, score) of all documents that share a term with the query.
-
-    A repeated query word counts each time.
-    """
-    index, n = settled(postings(docs, doc, text)), docs.count()
-    avgdl = (index.agg(F.sum("tf")).first()[0] or 0) / max(n, 1)
-    terms = queries.select(qid, F.explode(tokens(F.col(query))).alias("term")).groupBy(qid, "term").agg(F.count("*").alias("qtf"))
-    terms = settled(terms.join(idf_table(index, n), "term"))
-    known = terms.count()
-    hit = index.join(F.broadcast(terms) if known <= MOST_TERMS else terms, "term")
-    weight = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(avgdl or 1.0)))
-    return hit.groupBy(qid, doc).agg(F.round(F.sum(F.col("qtf") * F.round(weight * STEPS).cast("long")) / STEPS, 6).alias("score"))
+from factlake.functions.text import tokens
+from factlake.operators import ranks
+from factlake.operators.bm25_index import Index
+from factlake.operators.layout import settled
 
 
 def top_k(scored: DataFrame, k: int, *by: str, score: str = "score", tie: Column) -> DataFrame:
@@ -63,20 +20,34 @@ def top_k(scored: DataFrame, k: int, *by: str, score: str = "score", tie: Column
     return scored.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
 
 
-def dense_scores(queries: DataFrame, vectors: DataFrame, *, qid: str = "qid", doc: str = "doc_id") -> DataFrame:
-    """Cosine of every query vector with every vector.
+def rrf(both: DataFrame, k: int, *, qid: str = "qid", doc: str = "doc_id", constant: int = 60) -> DataFrame:
+    """Reciprocal-rank fusion of two scores of the same rows (qid, doc, sparse, dense): the k best, with ``rank``.
 
-    A stated query set against all rows: the queries are repeated beside each block of
-    vectors by a nested-loop join, chosen by size.
+    Both rankings are total and are worked out by ranges, whatever a query's share of the
+    rows. One of the k best has a rank of ``most`` at least in one ranking: the first k of either have
+    1 / (constant + k), which two later ranks together don't reach.
     """
-    q = queries.select(qid, F.col("vec").alias("__q"))
-    return vectors.crossJoin(q).select(qid, doc, F.round(cosine(F.col("__q"), F.col("vec")), 6).alias("score"))
+    most = 2 * (constant + k) - constant
+    placed = ranks.placed(both, (qid,), F.desc("sparse"), doc, name="r1")
+    placed = ranks.placed(placed, (qid,), F.desc("dense"), doc, name="r2").where((F.col("r1") < most) | (F.col("r2") < most))
+    score = F.round(1 / (constant + 1 + F.col("r1")) + 1 / (constant + 1 + F.col("r2")), 9)
+    return top_k(placed.select(qid, doc, score.alias("score")), k, qid, tie=F.asc(doc))
+
 
+def containing(index: Index, docs: DataFrame, passages: DataFrame, *, doc: str = "doc_id", text: str = "text", qid: str = "qid", query: str = "query") -> DataFrame:
+    """(qid, doc) of the documents that hold a passage word for word.
 
-def rrf(sparse: DataFrame, dense: DataFrame, *, qid: str = "qid", doc: str = "doc_id", constant: int = 60) -> DataFrame:
-    """Reciprocal-rank fusion of two rankings: (qid, doc, score)."""
-    both = sparse.select(qid, doc, F.col("rank").alias("r1")).join(dense.select(qid, doc, F.col("rank").alias("r2")), [qid, doc])
-    return both.withColumn("score", F.round(1 / (constant + F.col("r1")) + 1 / (constant + F.col("r2")), 9)).drop("r1", "r2")
+    A document that does has the passage's rarest word, so only those that have it are
+    searched. The first and last words may be parts of longer ones there and don't count; passages
+    of less than three words are found nowhere.
+    """
+    inner = passages.select(F.col(qid).alias("qid"), F.col(query).alias("__passage"), tokens(F.col(query)).alias("__t")).where("size(__t) >= 3")
+    words = inner.select("qid", F.explode(F.slice("__t", F.lit(2), F.size("__t") - 2)).alias("term")).distinct()
+    asked = index.asked(passages, qid, query).join(words, ["qid", "term"])
+    rarest = settled(asked.groupBy("qid").agg(F.min(F.struct("df", "term")).alias("w")).select("qid", "w.term", F.lit(1).alias("qtf"), F.lit(0.0).alias("idf")))
+    have = index.blocks(rarest, rarest.count()).select("qid", F.explode("postings.doc").alias(doc))
+    near = have.join(inner.select("qid", "__passage"), "qid").join(docs.select(doc, F.col(text).alias("__text")), doc)
+    return near.where(F.col("__text").contains(F.col("__passage"))).select("qid", doc)
 
 
 def adaptive_k(route: Column) -> Column:

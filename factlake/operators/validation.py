@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factlake.functions.text import case, planner_normal
@@ -41,23 +41,33 @@ def validate_candidates(raw: DataFrame, shown: DataFrame) -> DataFrame:
 PLAN = "struct<intent:string,entity:string,property_scope:string,property_name:string,temporal_scope:string,ordinal_offset:bigint,aggregation_mode:string,boolean_target:string,negated:boolean,supported:boolean,reason:string>"
 
 
+def json_kind(text: str, key: str) -> Column:
+    """The type that JSON text gives to a key (STRING, BIGINT, BOOLEAN, VOID for null ...); null where it is missing."""
+    return F.schema_of_variant(F.try_variant_get(F.try_parse_json(F.col(text)), f"$.{key}", "variant"))
+
+
 def validate_plans(plans: DataFrame) -> DataFrame:
-    """(qid, error): the first rule that a plan's JSON breaks, or null."""
-    raw_offset = F.get_json_object("plan", "$.ordinal_offset")
-    p = plans.select("qid", F.array_sort(F.json_object_keys("plan")).alias("keys"), F.from_json("plan", PLAN).alias("p"), raw_offset.alias("o"))
+    """(qid, error): the first rule that a plan's JSON breaks, or null. Types are those of the JSON, nothing is coerced."""
+    kinds = {k: json_kind("plan", k) for k in PLAN_KEYS}
+    p = plans.select("qid", F.array_sort(F.json_object_keys("plan")).alias("keys"), F.from_json("plan", PLAN).alias("p"), F.get_json_object("plan", "$.ordinal_offset").alias("o"), F.struct(*[x.alias(k) for k, x in kinds.items()]).alias("kind"))
+    whole = (F.col("kind.ordinal_offset") == "BIGINT") | F.col("kind.ordinal_offset").rlike(r"^DECIMAL\(\d+,0\)$")
+    text = lambda k: ~F.coalesce(F.col(f"kind.{k}").isin("STRING", "VOID"), F.lit(False))
     rules = [
         (F.coalesce(F.col("keys") != F.array(*map(F.lit, PLAN_KEYS)), F.lit(True)), "keys"),
         (~F.coalesce(F.col("p.intent"), F.lit("")).isin(*INTENTS), "intent"),
         (~F.coalesce(F.col("p.property_scope"), F.lit("")).isin(*PROPERTY_SCOPES), "property_scope"),
         (~F.coalesce(F.col("p.temporal_scope"), F.lit("")).isin(*TEMPORAL_SCOPES), "temporal_scope"),
         (~F.coalesce(F.col("p.aggregation_mode"), F.lit("")).isin(*AGGREGATION_MODES), "aggregation_mode"),
-        (F.col("o").isNotNull() & F.coalesce(~F.col("o").rlike(r"^\d+$"), F.lit(False)), "ordinal_offset"),
-        (F.col("p.negated").isNull() | F.col("p.supported").isNull(), "booleans"),
-        (F.col("p.reason").isNull(), "reason"),
+        (text("entity"), "entity"),
+        (text("property_name"), "property_name"),
+        (text("boolean_target"), "boolean_target"),
+        ((F.col("kind.ordinal_offset") != "VOID") & ~F.coalesce(whole & F.col("o").rlike(r"^\d+$"), F.lit(False)), "ordinal_offset"),
+        ((F.col("kind.negated") != "BOOLEAN") | (F.col("kind.supported") != "BOOLEAN"), "booleans"),
+        (F.col("kind.reason") != "STRING", "reason"),
         ((F.col("p.property_scope") == "specific") & (F.coalesce("p.property_name", F.lit("")) == ""), "specific scope without property"),
         ((F.col("p.property_scope") == "ambiguous") & F.col("p.supported"), "ambiguous plan supported"),
         ((F.col("p.intent") == "aggregation") & ~F.col("p.aggregation_mode").isin("count", "list"), "aggregation mode missing"),
-        ((F.col("p.intent") == "boolean") & F.col("p.boolean_target").isNull() & F.col("p.supported"), "boolean target missing"),
+        ((F.col("p.intent") == "boolean") & (F.col("kind.boolean_target") == "VOID") & F.col("p.supported"), "boolean target missing"),
     ]
     return p.select("qid", case(rules, F.lit(None).cast("string")).alias("error"))
 

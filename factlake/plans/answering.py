@@ -2,26 +2,32 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from factlake.functions import scoring as S
 from factlake.functions import text as X
-from factlake.operators import hops, symbolic
+from factlake.operators import hops, routing, symbolic
+from factlake.operators.bm25_index import kept
+from factlake.operators.layout import settled
 from factlake.plans.registry import query
-from factlake.plans.text import CANON, COUNT, CUE, EVER, NEGATED, OFFSET, PROPERTY_PLANNER, RELATION, SCOPE, mention_sql, n, pn, retrieved
-from factlake.plans.views import View
+from factlake.plans.retrieval import ROUTE_SQL, scores_sql
+from factlake.plans.text import CANON, COUNT, CUE, EVER, NEGATED, OFFSET, PLANNER, PROPERTY_PLANNER, RELATION, SCOPE, STRIPPED, mention_sql, n, pn, retrieved
+from factlake.plans.views import View, with_views
 
 NEWEST = "(SELECT qid, arg_max(answer_entity, serial) AS answer_entity, arg_max(fact_text, serial) AS fact_text FROM candidates GROUP BY qid)"
 GATE = f"((({mention_sql('question', 'answer_entity')}) OR ({mention_sql('question', 'fact_text')})) <> {NEGATED.format('question')})"
 NSTATES = f"""(SELECT qid, serial, answer_entity, row_number() OVER (PARTITION BY qid ORDER BY serial DESC) - 1 AS state FROM (SELECT *, lag(nv) OVER (PARTITION BY qid ORDER BY serial DESC) AS last FROM (SELECT *, {n('answer_entity')} AS nv FROM candidates) WHERE nv <> '') WHERE last IS NULL OR last <> nv)"""
 
 
-@query(
-    f"""SELECT q.qid, coalesce(CASE WHEN k IS NULL THEN a.v ELSE b.v END, '(no answer)') AS answer, CASE WHEN k IS NULL THEN a.s ELSE b.s END AS serial FROM (SELECT qid, {OFFSET.format('question')} AS k FROM questions) q
+HISTORICAL_SQL = f"""SELECT q.qid, coalesce(CASE WHEN k IS NULL THEN a.v ELSE b.v END, '(no answer)') AS answer, CASE WHEN k IS NULL THEN a.s ELSE b.s END AS serial FROM (SELECT qid, {OFFSET.format('question')} AS k FROM questions) q
     LEFT JOIN (SELECT qid, arg_min(answer_entity, serial) AS v, min(serial) AS s FROM candidates GROUP BY qid) a ON a.qid = q.qid
-    LEFT JOIN (SELECT s.qid, arg_max(answer_entity, state) AS v, arg_max(serial, state) AS s FROM {NSTATES} s JOIN (SELECT qid, {OFFSET.format('question')} AS k FROM questions) q ON q.qid = s.qid AND state <= k GROUP BY s.qid) b ON b.qid = q.qid""",
-    "questions", "candidates",
-)
+    LEFT JOIN (SELECT s.qid, arg_max(answer_entity, state) AS v, arg_max(serial, state) AS s FROM {NSTATES} s JOIN (SELECT qid, {OFFSET.format('question')} AS k FROM questions) q ON q.qid = s.qid AND state <= k GROUP BY s.qid) b ON b.qid = q.qid"""
+
+
+@query(HISTORICAL_SQL, "questions", "candidates")
 def historical_native(v: View) -> DataFrame:
     return symbolic.historical_native(v.questions, v.candidates)
 
@@ -33,19 +39,19 @@ def boolean_gate_native(v: View) -> DataFrame:
     return j.select("qid", F.coalesce(symbolic.gate(F.col("question"), F.col("c.answer_entity"), F.col("c.fact_text")), F.lit(False)).alias("answer"))
 
 
-@query(
-    f"SELECT q.qid, coalesce(CASE WHEN {EVER.format('question')} THEN anyhit ELSE newest END, FALSE) AS answer FROM questions q LEFT JOIN (SELECT c.qid, bool_or({GATE}) AS anyhit, arg_max({GATE}, serial) AS newest FROM candidates c JOIN questions q ON q.qid = c.qid GROUP BY c.qid) g ON g.qid = q.qid",
-    "questions", "candidates",
-)
+BOOLEAN_SQL = f"SELECT q.qid, coalesce(CASE WHEN {EVER.format('question')} THEN anyhit ELSE newest END, FALSE) AS answer FROM questions q LEFT JOIN (SELECT c.qid, bool_or({GATE}) AS anyhit, arg_max({GATE}, serial) AS newest FROM candidates c JOIN questions q ON q.qid = c.qid GROUP BY c.qid) g ON g.qid = q.qid"
+
+
+@query(BOOLEAN_SQL, "questions", "candidates")
 def boolean_ever_native(v: View) -> DataFrame:
     return symbolic.boolean_native(v.questions, v.candidates)
 
 
-@query(
-    f"""SELECT q.qid, CASE WHEN regexp_matches({n('question')}, '{X.NATIVE_COUNT}') THEN coalesce(c, 0)::VARCHAR ELSE coalesce(v, '[]') END AS answer FROM questions q LEFT JOIN
-    (SELECT qid, count(*) AS c, '[' || string_agg('"' || replace(replace(a, '\\', '\\\\'), '"', '\\"') || '"', ', ' ORDER BY s) || ']' AS v FROM (SELECT qid, arg_min(trim(answer_entity), serial) AS a, min(serial) AS s, {n('answer_entity')} AS nv FROM candidates GROUP BY qid, nv) WHERE nv <> '' GROUP BY qid) a ON a.qid = q.qid""",
-    "questions", "candidates",
-)
+AGGREGATE_SQL = f"""SELECT q.qid, CASE WHEN regexp_matches({n('question')}, '{X.NATIVE_COUNT}') THEN coalesce(c, 0)::VARCHAR ELSE coalesce(v, '[]') END AS answer FROM questions q LEFT JOIN
+    (SELECT qid, count(*) AS c, '[' || string_agg('"' || replace(replace(a, '\\', '\\\\'), '"', '\\"') || '"', ', ' ORDER BY s) || ']' AS v FROM (SELECT qid, arg_min(trim(answer_entity), serial) AS a, min(serial) AS s, {n('answer_entity')} AS nv FROM candidates GROUP BY qid, nv) WHERE nv <> '' GROUP BY qid) a ON a.qid = q.qid"""
+
+
+@query(AGGREGATE_SQL, "questions", "candidates")
 def aggregate_native(v: View) -> DataFrame:
     return symbolic.aggregate_native(v.questions, v.candidates)
 
@@ -218,3 +224,39 @@ def multihop_chain(v: View) -> DataFrame:
     facts = p.select(F.col("p_name").alias("entity"), F.col("p_brand").alias("value"), F.col("p_partkey").alias("serial")).unionByName(p.select(F.col("p_brand").alias("entity"), F.col("p_type").alias("value"), F.col("p_partkey").alias("serial")))
     q = p.select(F.col("p_partkey").alias("qid"), F.when(F.col("p_partkey") % 7 == 0, "nobody").otherwise(F.col("p_name")).alias("entity"))
     return hops.chain(q, facts.withColumn("ord", F.col("serial")), 4)
+
+
+SEARCHED = f"(SELECT q.qid, q.question, q.entity, q.gold, route, CASE WHEN route IN ('temporal', 'aggregation') AND {STRIPPED} <> '' THEN {STRIPPED} ELSE question END AS query, CASE route WHEN 'temporal' THEN 25 WHEN 'aggregation' THEN 40 ELSE 10 END AS k FROM questions q JOIN ({ROUTE_SQL}) r ON r.qid = q.qid)"
+FOUND = f"""(SELECT qid, doc_id FROM (SELECT s.qid, doc_id, row_number() OVER (PARTITION BY s.qid ORDER BY score DESC, doc_id) AS rank, k FROM {scores_sql("(SELECT serial AS doc_id, text FROM fact_text)", "searched")} s JOIN searched a ON a.qid = s.qid) WHERE rank <= k)"""
+OWN = f"""SELECT qid, serial, text AS fact_text, value AS answer_entity FROM (SELECT f.qid, q.entity, t.serial, t.text, {PLANNER[0]} AS subject, {PLANNER[1]} AS value FROM {FOUND} f JOIN fact_text t ON t.serial = f.doc_id JOIN questions q ON q.qid = f.qid) WHERE subject = entity AND value <> ''"""
+
+
+ANSWERED = f"""SELECT q.qid, route, k, coalesce(n, 0) AS n_candidates, answer, contains(lower(answer), lower(gold)) AS correct FROM (
+      SELECT s.*, n, CASE route WHEN 'temporal' THEN h.answer WHEN 'boolean' THEN (CASE WHEN b.answer THEN 'True' ELSE 'False' END) WHEN 'aggregation' THEN a.answer ELSE coalesce(f.answer_entity, '(no answer)') END AS answer FROM searched s
+      LEFT JOIN (SELECT qid, count(*) AS n FROM own GROUP BY qid) c ON c.qid = s.qid LEFT JOIN {NEWEST.replace('candidates', 'own')} f ON f.qid = s.qid
+      LEFT JOIN ({HISTORICAL_SQL.replace('candidates', 'own')}) h ON h.qid = s.qid LEFT JOIN ({BOOLEAN_SQL.replace('candidates', 'own')}) b ON b.qid = s.qid LEFT JOIN ({AGGREGATE_SQL.replace('candidates', 'own')}) a ON a.qid = s.qid) q"""
+
+
+@query(with_views("", "questions", "fact_text").rstrip() + f", searched AS {SEARCHED}, own AS ({OWN}) {ANSWERED}")
+def answer_end_to_end(v: View) -> DataFrame:
+    """Every question from its words alone: route, clean, retrieve, take candidates, answer.
+
+    Candidates are the retrieved facts whose subject is the question's entity; a fact is parsed once,
+    before it meets its questions.
+    """
+    q = v.questions.join(routing.heuristic(v.questions).select("qid", "route"), "qid")
+    timed = F.col("route").isin("temporal", "aggregation")
+    q = settled(q.select("qid", "question", "entity", "gold", "route", F.when(timed, X.strip_noise(F.col("question"))).otherwise(F.col("question")).alias("query"), F.when(F.col("route") == "temporal", 25).when(F.col("route") == "aggregation", 40).otherwise(10).alias("k")))
+    found = kept(v.fact_text, doc="serial").top_k(q, 40).join(q.select("qid", "k", "entity"), "qid").where(F.col("rank") <= F.col("k"))
+    facts = symbolic.parsed_facts(v.fact_text).select(F.col("serial").alias("doc"), "ord", F.col("text").alias("fact_text"), "subject", "answer_entity").where("answer_entity <> ''")
+    own = settled(found.join(facts, "doc").where(F.col("subject") == F.col("entity")).select("qid", F.col("doc").alias("serial"), "ord", "fact_text", "answer_entity"))
+    freshest = own.groupBy("qid").agg(F.max(F.struct("serial", (-F.col("ord")).alias("o"), "answer_entity")).alias("c"), F.count("*").alias("n"))
+    of = lambda route: q.where(F.col("route") == route).select("qid", "question")
+    answers = [
+        symbolic.historical_native(of("temporal"), own).select("qid", "answer"),
+        symbolic.boolean_native(of("boolean"), own).select("qid", F.when(F.col("answer"), "True").otherwise("False").alias("answer")),
+        symbolic.aggregate_native(of("aggregation"), own).select("qid", "answer"),
+        of("freshness").join(freshest, "qid", "left").select("qid", F.coalesce("c.answer_entity", F.lit("(no answer)")).alias("answer")),
+    ]
+    j = q.join(reduce(DataFrame.unionByName, answers), "qid").join(freshest.select("qid", "n"), "qid", "left")
+    return j.select("qid", "route", "k", F.coalesce("n", F.lit(0).cast("long")).alias("n_candidates"), "answer", S.subem(F.col("answer"), F.col("gold")).alias("correct"))

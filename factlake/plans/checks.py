@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factlake.operators import checks
+from factlake.operators import checks, manifest, symbolic, trace
+from factlake.operators.layout import settled
+from factlake.plans import answering
 from factlake.plans.registry import ORACLES, query
 from factlake.plans.scoring import failure_category as categories
 from factlake.plans.views import View
@@ -65,3 +67,74 @@ def entity_split(v: View) -> DataFrame:
     """Entities of long and of short histories, dealt to three disjoint sets."""
     e = v.parsed.groupBy("entity").agg(F.when(F.count("*") >= 20, "long").otherwise("short").alias("stratum"))
     return checks.stratified_split(e, "entity", "stratum", SPLITS)
+
+
+@query("SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT' INTERSECT SELECT o_custkey FROM orders WHERE o_orderstatus = 'P'")
+def set_intersection(v: View) -> DataFrame:
+    """Customers of either set of orders that are in both."""
+    o = v.table("orders")
+    return o.where("o_orderpriority = '1-URGENT'").select("o_custkey").intersect(o.where("o_orderstatus = 'P'").select("o_custkey"))
+
+
+#: Columns of the tables under a manifest, and how each is written in canonical JSON.
+FROZEN = {"region": ("r_name", "r_regionkey"), "nation": ("n_name", "n_nationkey", "n_regionkey"), "part": ("p_brand", "p_name", "p_partkey", "p_size"), "orders": ("o_custkey", "o_orderkey", "o_orderstatus")}
+KEYED = ("key", "size")
+
+
+def json_sql(columns: tuple[str, ...]) -> str:
+    whole = [c for c in columns if c.endswith(KEYED)]
+    return "'{' || " + " || ',' || ".join(f"""'"{c}":' || """ + (f"{c}::VARCHAR" if c in whole else f"'\"' || {c} || '\"'") for c in columns) + " || '}'"
+
+
+def fingerprint_sql(table: str, source: str) -> str:
+    sums = ", ".join(f"coalesce(sum(('0x' || substr(h, {1 + 16 * i}, 16))::UBIGINT), 0)::VARCHAR AS s{i}" for i in range(4))
+    return f"SELECT '{table}' AS name, n AS n_rows, sha256(n::VARCHAR || ':' || s0 || ':' || s1 || ':' || s2 || ':' || s3) AS fingerprint FROM (SELECT count(*) AS n, {sums} FROM (SELECT sha256({json_sql(FROZEN[table])}) AS h FROM {source}))"
+
+
+def frozen_tables(v: View) -> dict[str, DataFrame]:
+    return {t: v.table(t).select(*columns) for t, columns in FROZEN.items()}
+
+
+def edited(part: DataFrame) -> DataFrame:
+    """Parts as they may have been frozen: some were renamed since, some are new."""
+    k = F.col("p_partkey")
+    return part.where(k % 41 != 0).withColumn("p_name", F.when(k % 53 == 0, F.concat("p_name", F.lit(" (é\"\\ old)"))).otherwise(F.col("p_name")))
+
+
+EDITED = "(SELECT * REPLACE (CASE WHEN p_partkey % 53 = 0 THEN p_name || ' (é\"\\ old)' ELSE p_name END AS p_name) FROM part WHERE p_partkey % 41 <> 0)"
+
+
+@query(" UNION ALL ".join(fingerprint_sql(t, t) for t in FROZEN))
+def manifest_recompute(v: View) -> DataFrame:
+    return manifest.recompute(frozen_tables(v))
+
+
+@query(f"SELECT 'part' AS name, CASE WHEN (SELECT count(*) FROM {EDITED}) <> (SELECT count(*) FROM part) THEN 'rows' ELSE 'content' END AS status WHERE EXISTS (SELECT 1 FROM part WHERE p_partkey % 41 = 0 OR p_partkey % 53 = 0)")
+def manifest_verify(v: View) -> DataFrame:
+    """Tables that aren't as frozen: the parts alone were edited."""
+    now = frozen_tables(v)
+    return manifest.verify(manifest.recompute(now | {"part": edited(now["part"])}), manifest.recompute(now))
+
+
+@query("SELECT p_partkey, CASE WHEN p_partkey % 41 = 0 THEN 'extra' ELSE 'changed' END AS status FROM part WHERE p_partkey % 41 = 0 OR p_partkey % 53 = 0")
+def manifest_differences(v: View) -> DataFrame:
+    """Every part that isn't as frozen."""
+    now = frozen_tables(v)["part"]
+    return manifest.differences(manifest.row_hashes(edited(now), "p_partkey"), manifest.row_hashes(now, "p_partkey"), "p_partkey")
+
+
+@query(
+    f"""WITH e AS ({ORACLES['plan_execute']}) SELECT step, metric, value FROM (
+      SELECT 'plans' AS step, 'rows' AS metric, (SELECT count(*) FROM part) AS value UNION ALL SELECT 'plans', 'supported', (SELECT count(*) FROM part WHERE p_partkey % 17 <> 0)
+      UNION ALL SELECT 'answers', 'rows', (SELECT count(*) FROM e) UNION ALL SELECT 'answers', 'answered', (SELECT count(*) FROM e WHERE status = 'answered')
+      UNION ALL SELECT 'answers', 'abstained', (SELECT count(*) FROM e WHERE status <> 'answered') UNION ALL SELECT 'answers', 'complete', (SELECT count(*) FROM e WHERE complete))"""
+)
+def trace_plan_execute(v: View) -> DataFrame:
+    """What the planner took in, answered and abstained from, observed while the answers were written."""
+    run = trace.Trace(v.spark, "plan_execute")
+    seen = settled(run.step(v.plans, "plans", supported=F.col("supported")))
+    p = seen.join(symbolic.history_complete(seen, v.retrieved, *answering.counts(v)), "qid")
+    r = symbolic.execute(p, symbolic.deterministic_candidates(p, v.retrieved)).join(p.select("qid", "complete"), "qid")
+    status = F.col("status")
+    run.step(r, "answers", answered=status == "answered", abstained=status != "answered", complete=F.col("complete")).write.format("noop").mode("overwrite").save()
+    return run.rows().drop("run")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from factlake.functions import text as X
-from factlake.operators import facts, history
+from factlake.operators import facts, history, ranks
 from factlake.plans.registry import query
 from factlake.plans.text import n
 from factlake.plans.views import View
@@ -50,7 +50,7 @@ def entity_property_counts(v: View) -> DataFrame:
     "parsed", "fact_text",
 )
 def entity_reliable(v: View) -> DataFrame:
-    raw = facts.prefix_join(v.fact_text, v.parsed.select("entity")).groupBy("entity").agg(F.count("*").alias("n_raw"))
+    raw = facts.prefix_counts(v.fact_text, v.parsed.select("entity"))
     subject, _ = X.parse_fact(F.col("text"))
     parsed = v.fact_text.select(subject.alias("entity")).where("entity is not null").groupBy("entity").agg(F.count("*").alias("n_parsed"))
     return raw.join(parsed, "entity").where("n_raw = n_parsed")
@@ -115,7 +115,9 @@ def index_gap(v: View) -> DataFrame:
 @query("SELECT user_id, quantile_disc AS p95, median, mean_value, n FROM (SELECT user_id, list_sort(list(value))[least(count(*), CAST(floor(0.95 * count(*)) AS BIGINT) + 1)] AS quantile_disc, list_sort(list(value))[count(*) // 2 + 1] AS median, round(avg(value), 6) AS mean_value, count(*) AS n FROM events GROUP BY user_id)")
 def latency_p95(v: View) -> DataFrame:
     """Nearest-rank 95th percentile and upper median of each user's values."""
-    return v.table("events").groupBy("user_id").agg(history.nearest_rank(F.col("value"), 0.95).alias("p95"), history.nearest_rank(F.col("value"), 0.5).alias("median"), F.round(F.avg("value"), 6).alias("mean_value"), F.count("*").alias("n"))
+    e = v.table("events").select("user_id", "value")
+    plain = e.groupBy("user_id").agg(F.round(F.avg("value"), 6).alias("mean_value"), F.count("*").alias("n"))
+    return ranks.nearest_ranks(e, ("user_id",), "value", {"p95": 0.95, "median": 0.5}).join(plain, "user_id")
 
 
 @query("SELECT o_orderpriority AS arm, count(*) AS calls, round(sum(coalesce(CASE WHEN o_orderstatus <> 'P' THEN o_totalprice::DECIMAL(18, 2) END, 0)), 2)::DOUBLE AS cost FROM orders GROUP BY 1")
@@ -184,13 +186,10 @@ def join_ledger_left(v: View) -> DataFrame:
 
 @query("SELECT c.k, c.c_name IS NOT DISTINCT FROM replace(s.name, 'Supplier', 'Customer') AS same FROM (SELECT row_number() OVER (ORDER BY c_custkey) AS k, c_name FROM customer) c JOIN (SELECT row_number() OVER (ORDER BY s_suppkey) AS k, s_name AS name FROM supplier) s ON c.k = s.k")
 def join_positional_check(v: View) -> DataFrame:
-    """Rows of two lists side by side, by their places under an explicit order.
-
-    Meant for saved result lists: one task numbers each list.
-    """
-    c = v.table("customer").select(F.row_number().over(Window.orderBy("c_custkey")).cast("long").alias("k"), "c_name")
-    s = v.table("supplier").select(F.row_number().over(Window.orderBy("s_suppkey")).cast("long").alias("k"), F.col("s_name").alias("name"))
-    return c.join(s, "k").select("k", F.col("c_name").eqNullSafe(F.replace("name", F.lit("Supplier"), F.lit("Customer"))).alias("same"))
+    """Rows of two lists side by side, by their places under an explicit order."""
+    c = ranks.numbered(v.table("customer").select("c_custkey", "c_name"), "c_custkey", name="k")
+    s = ranks.numbered(v.table("supplier").select("s_suppkey", F.col("s_name").alias("name")), "s_suppkey", name="k")
+    return c.join(s, "k").select((F.col("k") + 1).alias("k"), F.col("c_name").eqNullSafe(F.replace("name", F.lit("Supplier"), F.lit("Customer"))).alias("same"))
 
 
 @query("SELECT f.serial, e.entity FROM fact_text f JOIN (SELECT DISTINCT entity FROM parsed) e ON starts_with(f.text, e.entity || ' ')", "fact_text", "parsed")

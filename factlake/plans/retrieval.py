@@ -2,34 +2,52 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factlake.functions import text as X
 from factlake.operators import retrieval, routing
+from factlake.operators.bm25_index import Index, kept
+from factlake.operators.dense import Search
+from factlake.operators.layout import settled
 from factlake.plans.registry import query
 from factlake.plans.text import n
-from factlake.plans.views import View
+from factlake.plans.views import View, _sql_list
 
-SCORES = """(WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS t FROM documents), st AS (SELECT count(*) AS n, avg(length(t)) AS avgdl FROM d),
+def scores_sql(docs: str, queries: str) -> str:
+    """(qid, doc_id, score) of documents (doc_id, text) and queries (qid, query)."""
+    return f"""(WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS t FROM {docs}), st AS (SELECT count(*) AS n, avg(length(t)) AS avgdl FROM d),
   tf AS (SELECT term, doc_id, dl, count(*) AS tf FROM (SELECT doc_id, length(t) AS dl, unnest(t) AS term FROM d) GROUP BY ALL),
   df AS (SELECT term, ln(n - count(*) + 0.5) - ln(count(*) + 0.5) AS raw FROM tf, st GROUP BY term, n),
   idf AS (SELECT term, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM df) ELSE raw END AS idf FROM df),
-  q AS (SELECT item_id AS qid, term, count(*) AS qtf FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM benchmark) GROUP BY ALL)
+  q AS (SELECT qid, term, count(*) AS qtf FROM (SELECT qid, unnest(regexp_extract_all(lower(query), '[a-z0-9]+')) AS term FROM {queries}) GROUP BY ALL)
   SELECT qid, doc_id, round(sum(qtf * round(idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl)) * 1e9)::BIGINT) / 1e9, 6) AS score FROM q JOIN tf USING (term) JOIN idf USING (term), st GROUP BY qid, doc_id)"""
 
 
+SCORES = scores_sql("documents", "(SELECT item_id AS qid, text AS query FROM benchmark)")
+
+
 def ranked_sql(k: str, tie: str = "doc_id", extra: str = "") -> str:
     return f"SELECT qid, doc_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, {tie}) AS rank FROM {SCORES}) WHERE rank <= {k} {extra}"
 
 
+def index(v: View) -> Index:
+    """The kept index of the documents: every query below reads the same one."""
+    return kept(v.table("documents"))
+
+
+def passages(v: View) -> DataFrame:
+    return v.table("benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("query"))
+
+
 def scores(v: View) -> DataFrame:
-    q = v.table("benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("query"))
-    return retrieval.bm25_scores(v.table("documents").select("doc_id", "text"), q)
+    return index(v).all_scores(passages(v)).withColumnRenamed("doc", "doc_id")
 
 
-def ranked(v: View, k: int = 80) -> DataFrame:
-    return retrieval.top_k(scores(v), k, "qid", tie=F.asc("doc_id"))
+def ranked(v: View, k: int = 80, *, last_first: bool = False) -> DataFrame:
+    return index(v).top_k(passages(v), k, tie=F.desc("doc") if last_first else None).select("qid", F.col("doc").alias("doc_id"), "score", "rank")
 
 
 @query(f"SELECT qid, doc_id, score FROM {SCORES}")
@@ -44,7 +62,7 @@ def bm25_topk(v: View) -> DataFrame:
 
 @query(ranked_sql("10", "doc_id DESC"))
 def bm25_topk_legacy_ties(v: View) -> DataFrame:
-    return retrieval.top_k(scores(v), 10, "qid", tie=F.desc("doc_id"))
+    return ranked(v, 10, last_first=True)
 
 
 @query(ranked_sql("10"))
@@ -64,67 +82,106 @@ def adaptive_topk(v: View) -> DataFrame:
     return ranked(v, 40).where(F.col("rank") <= retrieval.adaptive_k(route))
 
 
-#: Documents of one source are the relevant ones of a query in the recall reports.
-RELEVANT = "(SELECT item_id AS qid, doc_id FROM benchmark JOIN documents ON source = 'src' || (item_id % 20))"
+#: The documents that hold a passage are its relevant ones.
+RELEVANT = "(SELECT item_id AS qid, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text))"
 KS = (10, 25, 40, 60, 80)
-RECALL = f"SELECT r.qid, k, count(b.doc_id) FILTER (rank <= k) AS hits, count(*) AS total FROM {RELEVANT} r LEFT JOIN ({ranked_sql('80')}) b ON b.qid = r.qid AND b.doc_id = r.doc_id, (SELECT unnest([10, 25, 40, 60, 80]) AS k) GROUP BY r.qid, k"
+
+
+def recall_sql(ranking: str) -> str:
+    return f"SELECT r.qid, k, count(b.doc_id) FILTER (rank <= k) AS hits, count(*) AS total, string_agg(r.doc_id::VARCHAR, '|' ORDER BY r.doc_id) FILTER (b.doc_id IS NULL OR rank > k) AS missed FROM {RELEVANT} r LEFT JOIN ({ranking}) b ON b.qid = r.qid AND b.doc_id = r.doc_id, (SELECT unnest([10, 25, 40, 60, 80]) AS k) GROUP BY r.qid, k"
+
+
+RECALL = recall_sql(ranked_sql("80"))
 
 
 def relevant(v: View) -> DataFrame:
-    b = v.table("benchmark").select(F.col("item_id").alias("qid"), F.concat(F.lit("src"), (F.col("item_id") % 20).cast("string")).alias("source"))
-    return b.join(v.table("documents").select("doc_id", "source"), "source").select("qid", "doc_id")
+    docs = v.table("documents").select("doc_id", "text")
+    return settled(retrieval.containing(index(v), docs, passages(v)))
 
 
-def recalls(v: View) -> DataFrame:
-    """Ranks once, then counts hits at every K."""
-    j = relevant(v).join(ranked(v).select("qid", "doc_id", "rank"), ["qid", "doc_id"], "left")
-    hits = [F.struct(F.lit(k).alias("k"), F.count(F.when(F.col("rank") <= k, 1)).alias("hits")) for k in KS]
-    g = j.groupBy("qid").agg(F.array(*hits).alias("h"), F.count("*").alias("total"))
-    return g.select("qid", F.explode("h").alias("h"), "total").select("qid", "h.k", "h.hits", "total")
+def recalls(found: DataFrame, ranking: DataFrame) -> DataFrame:
+    """Hits and misses at every K, from one ranking (qid, doc_id, rank)."""
+    j = found.join(ranking.select("qid", "doc_id", "rank"), ["qid", "doc_id"], "left")
+    late = lambda k: F.col("rank").isNull() | (F.col("rank") > k)
+    each = [F.struct(F.lit(k).alias("k"), F.count(F.when(~late(k), 1)).alias("hits"), F.array_join(F.sort_array(F.collect_list(F.when(late(k), F.col("doc_id")))).cast("array<string>"), "|").alias("missed")) for k in KS]
+    g = j.groupBy("qid").agg(F.array(*each).alias("h"), F.count("*").alias("total"))
+    return g.select("qid", F.explode("h").alias("h"), "total").select("qid", "h.k", "h.hits", "total", F.when(F.col("h.missed") != "", F.col("h.missed")).alias("missed"))
 
 
-@query(RECALL)
+@query(f"SELECT qid, k, hits, total FROM ({RECALL})")
 def recall_at_k(v: View) -> DataFrame:
-    return recalls(v)
+    return recalls(relevant(v), ranked(v)).drop("missed")
 
 
 @query(f"SELECT k, sum(hits)::BIGINT AS hits, sum(total)::BIGINT AS total, round(sum(hits) / sum(total), 6) AS recall, count(*) FILTER (hits = total) AS full_support FROM ({RECALL}) GROUP BY k")
 def recall_micro(v: View) -> DataFrame:
-    return recalls(v).groupBy("k").agg(F.sum("hits").alias("hits"), F.sum("total").alias("total"), F.round(F.sum("hits") / F.sum("total"), 6).alias("recall"), F.count_if(F.col("hits") == F.col("total")).alias("full_support"))
-
-
-@query(f"SELECT qid, k, hits, total, round(hits / total, 6) AS recall, hits = total AS full_support, total - hits AS missing FROM ({RECALL})")
-def retrieval_audit(v: View) -> DataFrame:
-    return recalls(v).select("qid", "k", "hits", "total", F.round(F.col("hits") / F.col("total"), 6).alias("recall"), (F.col("hits") == F.col("total")).alias("full_support"), (F.col("total") - F.col("hits")).alias("missing"))
+    return recalls(relevant(v), ranked(v)).groupBy("k").agg(F.sum("hits").alias("hits"), F.sum("total").alias("total"), F.round(F.sum("hits") / F.sum("total"), 6).alias("recall"), F.count_if(F.col("hits") == F.col("total")).alias("full_support"))
 
 
 PROTOTYPES = 40  # vectors of the lowest ids are the routers' prototypes
 SEARCHES = "vec_id % 100 = 0"  # the dense queries
-DENSE = f"(SELECT q.vec_id AS qid, v.vec_id AS doc_id, round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) AS score FROM embeddings q, embeddings v WHERE q.{SEARCHES})"
 
 
-def dense(v: View) -> DataFrame:
-    e = v.table("embeddings")
-    q = e.where(SEARCHES).select(F.col("vec_id").alias("qid"), F.col("embedding").alias("vec"))
-    return retrieval.dense_scores(q, e.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vec")))
+def dense_sql(which: str) -> str:
+    return f"(SELECT q.vec_id AS qid, v.vec_id AS doc_id, round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) AS score FROM embeddings q, embeddings v WHERE {which})"
+
+
+DENSE = dense_sql(f"q.{SEARCHES}")
+
+
+def vectors(v: View) -> Search:
+    return Search(v.table("embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vec")))
+
+
+def searches(v: View) -> DataFrame:
+    return v.table("embeddings").where(SEARCHES).select(F.col("vec_id").alias("qid"), F.col("embedding").alias("vec"))
 
 
 @query(f"SELECT qid, doc_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM {DENSE}) WHERE rank <= 10")
 def dense_topk(v: View) -> DataFrame:
-    return retrieval.top_k(dense(v), 10, "qid", tie=F.asc("doc_id"))
+    return vectors(v).top_k(searches(v), 10).select("qid", "doc_id", "score", "rank")
 
 
-@query(
-    f"""SELECT qid, doc_id, score, rank FROM (SELECT qid, doc_id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM (SELECT qid, doc_id, round(1 / (60 + r1) + 1 / (60 + r2), 9) AS score FROM
-    (SELECT d.qid, d.doc_id, row_number() OVER (PARTITION BY d.qid ORDER BY coalesce(b.score, 0) DESC, d.doc_id) AS r1, row_number() OVER (PARTITION BY d.qid ORDER BY d.score DESC, d.doc_id) AS r2 FROM {DENSE} d LEFT JOIN {SCORES} b ON b.qid = d.qid AND b.doc_id = d.doc_id))) WHERE rank <= 80"""
-)
+def fused_sql(dense: str) -> str:
+    return f"""SELECT qid, doc_id, score, rank FROM (SELECT qid, doc_id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM (SELECT qid, doc_id, round(1 / (60 + r1) + 1 / (60 + r2), 9) AS score FROM
+    (SELECT d.qid, d.doc_id, row_number() OVER (PARTITION BY d.qid ORDER BY coalesce(b.score, 0) DESC, d.doc_id) AS r1, row_number() OVER (PARTITION BY d.qid ORDER BY d.score DESC, d.doc_id) AS r2 FROM {dense} d LEFT JOIN {SCORES} b ON b.qid = d.qid AND b.doc_id = d.doc_id))) WHERE rank <= 80"""
+
+
+def both_scores(v: View, asked: DataFrame) -> DataFrame:
+    """(qid, doc_id, dense, sparse) of every vector; documents without a shared term have 0."""
+    sparse = scores(v).withColumnRenamed("score", "sparse")
+    both = vectors(v).all_scores(asked).withColumnRenamed("score", "dense").join(sparse, ["qid", "doc_id"], "left")
+    return both.withColumn("sparse", F.coalesce("sparse", F.lit(0.0)))
+
+
+@query(fused_sql(DENSE))
 def rrf_fusion(v: View) -> DataFrame:
     """Both rankings are total: documents without a shared term rank by id behind the rest."""
-    both = dense(v).join(scores(v).withColumnRenamed("score", "s"), ["qid", "doc_id"], "left")
-    by = lambda c: F.row_number().over(Window.partitionBy("qid").orderBy(F.desc(c), "doc_id"))
-    both = both.withColumn("s", F.coalesce("s", F.lit(0.0)))
-    sparse, near = both.select("qid", "doc_id", by("s").alias("rank")), both.select("qid", "doc_id", by("score").alias("rank"))
-    return retrieval.top_k(retrieval.rrf(sparse, near), 80, "qid", tie=F.asc("doc_id"))
+    return retrieval.rrf(both_scores(v, searches(v)), 80)
+
+
+ASKED = dense_sql("q.vec_id IN (SELECT item_id FROM benchmark)")
+METHODS = {
+    "bm25": ranked_sql("80"),
+    "bm25_legacy_ties": ranked_sql("80", "doc_id DESC"),
+    "dense": f"SELECT qid, doc_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM {ASKED}) WHERE rank <= 80",
+    "rrf": fused_sql(ASKED),
+}
+AUDIT = " UNION ALL ".join(f"SELECT '{m}' AS method, * FROM ({recall_sql(r)})" for m, r in METHODS.items())
+
+
+@query(f"SELECT method, qid, k, hits, total, round(hits / total, 6) AS recall, hits = total AS full_support, total - hits AS missing, missed FROM ({AUDIT})")
+def retrieval_audit(v: View) -> DataFrame:
+    """Every passage by every method and K, with the relevant documents that it misses.
+
+    A passage's vector is the one of its number, a document's likewise.
+    """
+    found = relevant(v)
+    items = v.table("benchmark").select(F.col("item_id").alias("vec_id"))
+    asked = v.table("embeddings").join(items, "vec_id", "left_semi").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("vec"))
+    rankings = {"bm25": ranked(v), "bm25_legacy_ties": ranked(v, last_first=True), "dense": vectors(v).top_k(asked, 80), "rrf": retrieval.rrf(both_scores(v, asked), 80)}
+    rows = reduce(DataFrame.unionByName, [recalls(found, r).withColumn("method", F.lit(m)) for m, r in rankings.items()])
+    return rows.select("method", "qid", "k", "hits", "total", F.round(F.col("hits") / F.col("total"), 6).alias("recall"), (F.col("hits") == F.col("total")).alias("full_support"), (F.col("total") - F.col("hits")).alias("missing"), "missed")
 
 
 @query(f"SELECT vec_id, arg_max(route, (s, -route)) AS route, max(s) AS score FROM (SELECT v.vec_id, p.label AS route, round(list_cosine_similarity(p.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) AS s FROM embeddings v, embeddings p WHERE p.vec_id < {PROTOTYPES}) GROUP BY vec_id")
@@ -167,11 +224,36 @@ def route_bonus(v: View) -> DataFrame:
 ROUTE_SCORES = ", ".join(f"round({bonus_sql(r)} + 0.55 * greatest({', '.join(lexical_sql('question', chr(39) + e + chr(39)) for e in examples)}), 6) AS {r}" for r, examples in X.ROUTE_EXAMPLES.items())
 
 
-@query(f"SELECT qid, CASE best WHEN freshness THEN 'freshness' WHEN temporal THEN 'temporal' WHEN boolean THEN 'boolean' ELSE 'aggregation' END AS route, best AS score FROM (SELECT *, greatest(freshness, temporal, \"boolean\", aggregation) AS best FROM (SELECT qid, {ROUTE_SCORES.replace(' AS boolean', ' AS \"boolean\"')} FROM questions))".replace("WHEN boolean", 'WHEN "boolean"'), "questions")
+ROUTE_SQL = f"SELECT qid, CASE best WHEN freshness THEN 'freshness' WHEN temporal THEN 'temporal' WHEN boolean THEN 'boolean' ELSE 'aggregation' END AS route, best AS score FROM (SELECT *, greatest(freshness, temporal, \"boolean\", aggregation) AS best FROM (SELECT qid, {ROUTE_SCORES.replace(' AS boolean', ' AS \"boolean\"')} FROM questions))".replace("WHEN boolean", 'WHEN "boolean"')
+
+
+@query(ROUTE_SQL, "questions")
 def route_heuristic(v: View) -> DataFrame:
     return routing.heuristic(v.questions)
 
 
+ROUTES = list(X.ROUTE_EXAMPLES)
+#: A question's vector is that of its number, modulo the vectors; the examples of a route are prototypes.
+NEAR = f"(SELECT q.qid, {_sql_list(ROUTES)}[p.label % {len(ROUTES)} + 1] AS r, max(round(list_cosine_similarity(v.embedding::DOUBLE[], p.embedding::DOUBLE[]), 6)) AS s FROM questions q JOIN embeddings v ON v.vec_id = q.qid % (SELECT count(*) FROM embeddings), embeddings p WHERE p.vec_id < {PROTOTYPES} GROUP BY 1, 2)"
+WITH_NEAR = ", ".join(f"round(\"{r}\" + 0.45 * coalesce((SELECT s FROM near n WHERE n.qid = h.qid AND n.r = '{r}'), 0), 8) AS \"{r}\"" for r in ROUTES)
+
+
+@query(
+    f"""SELECT qid, CASE best WHEN freshness THEN 'freshness' WHEN temporal THEN 'temporal' WHEN "boolean" THEN 'boolean' ELSE 'aggregation' END AS route, best AS score
+    FROM (SELECT *, greatest(freshness, temporal, "boolean", aggregation) AS best FROM (WITH near AS {NEAR} SELECT qid, {WITH_NEAR} FROM (SELECT qid, {ROUTE_SCORES.replace(' AS boolean', ' AS "boolean"')} FROM questions) h))""",
+    "questions",
+)
+def route_heuristic_vectors(v: View) -> DataFrame:
+    """The router with all its terms: hints, words in common, and 0.45 of the nearest example's cosine."""
+    e = v.table("embeddings")
+    k = (F.col("label") % len(ROUTES)).cast("int")
+    examples = e.where(F.col("vec_id") < PROTOTYPES).select(F.element_at(F.array(*map(F.lit, ROUTES)), k + 1).alias("route"), k.alias("route_order"), F.col("embedding").alias("vec"))
+    n = max(1, e.count())
+    near = routing.nearest_by_route(e.select("vec_id", F.col("embedding").alias("vec")), examples, "vec_id")
+    q = v.questions.withColumn("vec_id", F.col("qid") % n).join(near, "vec_id")
+    return routing.heuristic(q)
+
+
 @query("SELECT qid, string_agg(serial || '. ' || fact_text, chr(10) ORDER BY serial DESC) AS pool, count(*) AS n FROM candidates GROUP BY qid", "candidates")
 def pool_format(v: View) -> DataFrame:
     lines = F.sort_array(F.collect_list(F.struct("serial", "fact_text")), asc=False)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from factlake.functions import scoring as S
 from factlake.functions import text as X
-from factlake.operators import audit, generate
+from factlake.operators import audit, generate, history
 from factlake.plans.registry import query
 from factlake.plans.text import QUESTION_PROPERTY, n, pn
 from factlake.plans.views import View, _sql_list
@@ -193,6 +193,28 @@ def paraphrase_build(v: View) -> DataFrame:
     return generate.rewrite(v.questions, generate.PARAPHRASES)
 
 
+PN_STATES = f"(SELECT entity, serial, value, nv, row_number() OVER (PARTITION BY entity ORDER BY serial DESC) AS place FROM (SELECT *, lag(nv) OVER (PARTITION BY entity ORDER BY serial DESC) AS last FROM (SELECT *, {pn('value')} AS nv FROM parsed) WHERE nv <> '') WHERE last IS NULL OR last <> nv)"
+
+
+@query(
+    f"""SELECT qid, rank, replace(replace(replace({_sql_list(generate.RANKED)}[qid % {len(generate.RANKED)} + 1], '{{prop}}', qp), '{{entity}}', entity), '{{rank}}', rank::VARCHAR) AS rewritten
+    FROM (SELECT q.qid, q.entity, {QUESTION_PROPERTY} AS qp, min(place) AS rank FROM questions q JOIN {PN_STATES} s ON s.entity = q.entity AND s.nv = {pn('q.gold')} WHERE intent = 'historical' GROUP BY ALL)""",
+    "questions", "parsed",
+)
+def paraphrase_rank(v: View) -> DataFrame:
+    """Historical questions asked by the place of their gold answer among the entity's states."""
+    states = history.timeline(v.parsed, "entity", norm=X.planner_normal(F.col("value")))
+    return generate.rank_questions(v.questions, states)
+
+
+@query(f"SELECT r.qid, q.target FROM ({template_sql(generate.PARAPHRASES)}) r JOIN questions q ON q.qid = r.qid WHERE q.intent = 'boolean'", "questions")
+def target_recovery(v: View) -> DataFrame:
+    """The targets of rewritten Boolean questions, from their wordings alone: what was put in comes out."""
+    asked = generate.rewrite(v.questions, generate.PARAPHRASES).join(v.questions.where("intent = 'boolean'").select("qid", "entity", X.question_property(F.col("question")).alias("qp")), "qid")
+    wordings = (*generate.PARAPHRASES["boolean_specific"], *generate.PARAPHRASES["boolean_generic"])
+    return generate.recover_targets(asked.withColumnRenamed("rewritten", "question"), wordings)
+
+
 @query("SELECT count(*) AS n_rows, count(DISTINCT entity) AS n_entities, count(*) - count(DISTINCT (entity, intent, question)) AS n_repeated, count(*) FILTER (intent NOT IN ('historical', 'aggregation', 'boolean')) AS bad_intent, count(*) FILTER (intent = 'boolean' AND gold NOT IN ('True', 'False')) AS bad_boolean, count(*) FILTER (intent = 'aggregation' AND NOT regexp_full_match(gold, '\\d+')) AS bad_count, count(*) FILTER (trim(question) = '') AS empty FROM questions", "questions")
 def dataset_validate(v: View) -> DataFrame:
     return audit.validate_dataset(v.questions)

@@ -162,21 +162,21 @@ def candidates_validate_strict(v: View) -> DataFrame:
 
 
 def plan_json(pick) -> str:
-    """A plan per part as SQL text; ``pick(items, n)`` names the item at part key modulo n."""
+    """A plan per part as SQL text; ``pick(items, n, step)`` names the item at a part key's step modulo n."""
     return (
-        "'{\"intent\": \"' || " + pick(("historical", "aggregation", "boolean", "other"), 4) + " || '\", \"entity\": \"e\", \"property_scope\": \"' || " + pick(("specific", "entity_wide_values", "ambiguous"), 3)
+        "'{\"intent\": \"' || " + pick(("historical", "aggregation", "boolean", "other"), 4) + " || '\", \"entity\": ' || " + pick(('"e"', "null", '"f"', "5", '"g"', '{"a": 1}', '"h"'), 7, 13) + " || ', \"property_scope\": \"' || " + pick(("specific", "entity_wide_values", "ambiguous"), 3)
         + " || '\", \"property_name\": ' || (CASE WHEN p_partkey % 5 = 0 THEN 'null' ELSE '\"genre\"' END) || ', \"temporal_scope\": \"' || (CASE WHEN p_partkey % 7 = 0 THEN 'sometime' ELSE 'earliest' END) || '\", \"ordinal_offset\": ' || "
-        + pick(("null", "2", "-1", "true"), 4) + " || ', \"aggregation_mode\": \"' || " + pick(("count", "none"), 2)
-        + " || '\", \"boolean_target\": null, \"negated\": false, \"supported\": ' || (CASE WHEN p_partkey % 2 = 0 THEN 'true' ELSE 'false' END) || (CASE WHEN p_partkey % 11 = 0 THEN '' ELSE ', \"reason\": \"\"' END) || '}'"
+        + pick(("null", "2", "-1", "true", "null", "0", '"2"', "3", "2.0"), 9) + " || ', \"aggregation_mode\": \"' || " + pick(("count", "none"), 2)
+        + " || '\", \"boolean_target\": ' || " + pick(("null", '"x"', "null", '["x"]'), 4, 19) + " || ', \"negated\": false, \"supported\": ' || (CASE WHEN p_partkey % 2 = 0 THEN 'true' ELSE 'false' END) || (CASE WHEN p_partkey % 11 = 0 THEN '' ELSE ', \"reason\": \"\"' END) || '}'"
     )
 
 
-def _in_duckdb(items, n: int) -> str:
-    return "[" + ", ".join(f"'{x}'" for x in items) + f"][p_partkey % {n} + 1]"
+def _in_duckdb(items, n: int, step: int = 1) -> str:
+    return "[" + ", ".join(f"'{x}'" for x in items) + f"][p_partkey // {step} % {n} + 1]"
 
 
-def _in_spark(items, n: int) -> str:
-    return "array(" + ", ".join(f"'{x}'" for x in items) + f")[CAST(p_partkey % {n} AS INT)]"
+def _in_spark(items, n: int, step: int = 1) -> str:
+    return "array(" + ", ".join(f"'{x}'" for x in items) + f")[CAST(p_partkey div {step} % {n} AS INT)]"
 
 
 PLAN_JSON = f"(SELECT p_partkey AS qid, {plan_json(_in_duckdb)} AS plan FROM part)"
@@ -187,9 +187,9 @@ def plan_jsons(v: View) -> DataFrame:
 
 
 @query(
-    f"""SELECT qid, CASE WHEN p_partkey % 11 = 0 THEN 'keys' WHEN i = 'other' THEN 'intent' WHEN t = 'sometime' THEN 'temporal_scope' WHEN o IN ('-1', 'true') THEN 'ordinal_offset'
-      WHEN s = 'specific' AND pname IS NULL THEN 'specific scope without property' WHEN s = 'ambiguous' AND sup THEN 'ambiguous plan supported' WHEN i = 'aggregation' AND m = 'none' THEN 'aggregation mode missing' WHEN i = 'boolean' AND sup THEN 'boolean target missing' END AS error
-    FROM (SELECT qid, qid AS p_partkey, json_extract_string(plan, '$.intent') AS i, json_extract_string(plan, '$.temporal_scope') AS t, json_extract_string(plan, '$.ordinal_offset') AS o, json_extract_string(plan, '$.property_scope') AS s, json_extract_string(plan, '$.property_name') AS pname, json_extract_string(plan, '$.supported') = 'true' AS sup, json_extract_string(plan, '$.aggregation_mode') AS m FROM {PLAN_JSON})"""
+    f"""SELECT qid, CASE WHEN p_partkey % 11 = 0 THEN 'keys' WHEN i = 'other' THEN 'intent' WHEN t = 'sometime' THEN 'temporal_scope' WHEN ke NOT IN ('VARCHAR', 'NULL') THEN 'entity' WHEN kt NOT IN ('VARCHAR', 'NULL') THEN 'boolean_target' WHEN ko NOT IN ('UBIGINT', 'NULL') THEN 'ordinal_offset'
+      WHEN s = 'specific' AND pname IS NULL THEN 'specific scope without property' WHEN s = 'ambiguous' AND sup THEN 'ambiguous plan supported' WHEN i = 'aggregation' AND m = 'none' THEN 'aggregation mode missing' WHEN i = 'boolean' AND sup AND kt = 'NULL' THEN 'boolean target missing' END AS error
+    FROM (SELECT qid, qid AS p_partkey, json_extract_string(plan, '$.intent') AS i, json_extract_string(plan, '$.temporal_scope') AS t, json_type(plan, '$.ordinal_offset') AS ko, json_type(plan, '$.entity') AS ke, json_type(plan, '$.boolean_target') AS kt, json_extract_string(plan, '$.property_scope') AS s, json_extract_string(plan, '$.property_name') AS pname, json_extract_string(plan, '$.supported') = 'true' AS sup, json_extract_string(plan, '$.aggregation_mode') AS m FROM {PLAN_JSON})"""
 )
 def plan_validate(v: View) -> DataFrame:
     return validation.validate_plans(plan_jsons(v))
@@ -201,16 +201,30 @@ def hop_dependencies(v: View) -> DataFrame:
     return v.questions.select("qid", F.array_join(X.hop_numbers(q).cast("array<string>"), ",").alias("hops"))
 
 
+UNPARSED = f"NOT regexp_matches(text, '{X.EXPLICIT}', 'i') AND NOT regexp_matches(text, '{X.FALLBACK}', 'i')"
+ONLY_LEGACY = f"(SELECT * FROM ({LEGACY_SQL}) l WHERE NOT EXISTS (SELECT 1 FROM ({ANCHORED_SQL}) a WHERE a.doc = l.doc AND a.\"offset\" = l.\"offset\"))"
+
+
 @query(
-    f"""SELECT c.doc, coalesce(n_legacy, 0) AS n_legacy, coalesce(n_anchored, 0) AS n_anchored, coalesce(duplicate_serials, 0) AS duplicate_serials, coalesce(empty_texts, 0)::BIGINT AS empty_texts, coalesce(only_legacy, 0) AS only_legacy FROM contexts c
-    LEFT JOIN (SELECT doc, count(*) AS n_legacy FROM l GROUP BY doc) USING (doc) LEFT JOIN (SELECT doc, count(*) AS n_anchored, count(*) - count(DISTINCT serial) AS duplicate_serials, sum((text = '')::INT) AS empty_texts FROM a GROUP BY doc) USING (doc)
-    LEFT JOIN (SELECT doc, count(*) AS only_legacy FROM l WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.doc = l.doc AND a.serial = l.serial) GROUP BY doc) USING (doc)""".replace("FROM l ", f"FROM ({LEGACY_SQL}) l ").replace("FROM a ", f"FROM ({ANCHORED_SQL}) a "),
+    f"""SELECT c.doc, coalesce(n_legacy, 0) AS n_legacy, coalesce(n_anchored, 0) AS n_anchored, coalesce(duplicate_serials, 0) AS duplicate_serials, coalesce(empty_texts, 0)::BIGINT AS empty_texts, coalesce(only_legacy, 0) AS only_legacy, coalesce(unparsed, 0) AS unparsed FROM contexts c
+    LEFT JOIN (SELECT doc, count(*) AS n_legacy FROM ({LEGACY_SQL}) GROUP BY doc) USING (doc) LEFT JOIN (SELECT doc, count(*) AS n_anchored, count(*) - count(DISTINCT serial) AS duplicate_serials, sum((text = '')::INT) AS empty_texts, count(*) FILTER ({UNPARSED}) AS unparsed FROM ({ANCHORED_SQL}) GROUP BY doc) USING (doc)
+    LEFT JOIN (SELECT doc, count(*) AS only_legacy FROM {ONLY_LEGACY} GROUP BY doc) USING (doc)""",
     "contexts",
 )
 def parser_boundary_audit(v: View) -> DataFrame:
     return facts.boundary_audit(v.contexts, "doc")
 
 
+@query(f"SELECT doc, serial AS pseudo_serial, \"offset\", substring(context, greatest(\"offset\" - 48, 0) + 1, \"offset\" + 80 - greatest(\"offset\" - 48, 0)) AS snippet FROM {ONLY_LEGACY} JOIN contexts USING (doc)", "contexts")
+def parser_false_boundaries(v: View) -> DataFrame:
+    return facts.false_boundaries(v.contexts, "doc")
+
+
+@query(f"SELECT doc, serial, text AS fact_text FROM ({ANCHORED_SQL}) WHERE {UNPARSED}", "contexts")
+def parser_unparsed_facts(v: View) -> DataFrame:
+    return facts.unparsed_facts(v.contexts, "doc")
+
+
 SCOPE = f"(CASE WHEN property_scope = 'entity_wide_values' THEN TRUE WHEN property_scope = 'specific' THEN coalesce({CANON.format('fact_property')} = {CANON.format('property_name')}, FALSE) ELSE FALSE END)"
 
 

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from factlake.sources import arrow_source
+
 CONTEXT = T.StructType(
     [
         T.StructField("context", T.StringType()),
@@ -65,21 +67,43 @@ def file_hashes(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "length", F.sha2("content", 256).alias("sha256"))
 
 
-def arrow_streams(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """Rows of Arrow IPC stream files; each file is read by one task, batch by batch."""
-    import pyarrow as pa
+def arrow_streams(spark: SparkSession, path: str, schema: T.StructType | None = None, range_bytes: int = arrow_source.RANGE_BYTES) -> DataFrame:
+    """Rows of Arrow IPC stream files, in tasks of about ``range_bytes``; columns that ``schema`` leaves out aren't read."""
+    arrow_source.register(spark)
+    reader = spark.read.format("arrow_stream").option("rangeBytes", str(range_bytes))
+    return (reader.schema(schema) if schema else reader).load(path)
 
-    files = spark.read.format("binaryFile").load(path).select("content")
-    names = schema.names
 
-    def run(batches):
-        for b in batches:
-            for blob in b.column(0):
-                with pa.ipc.open_stream(blob.as_buffer()) as stream:
-                    for got in stream:
-                        yield pa.RecordBatch.from_arrays([got.column(got.schema.get_field_index(n)) for n in names], names=names)
+def constants(spark: SparkSession, path: str, names: tuple[str, ...]) -> DataFrame:
+    """(path, name, value): the texts of literal lists that Python files assign to any of ``names``.
 
-    return files.mapInArrow(run, schema)
+    Files are parsed, never run. A dictionary gives the lists that it holds; what is not a literal, and files that
+    aren't Python, give nothing. Names are compared without case.
+    """
+    import ast
+
+    wanted = {n.casefold() for n in names}
+
+    def texts(source):
+        try:
+            tree = ast.parse(source or "")
+        except (SyntaxError, ValueError):
+            return []
+        out = []
+        for node in ast.walk(tree):
+            own = [t.id for t in getattr(node, "targets", ()) if isinstance(t, ast.Name) and t.id.casefold() in wanted] if isinstance(node, ast.Assign) else []
+            if not own:
+                continue
+            try:
+                value = ast.literal_eval(node.value)
+            except (ValueError, TypeError):
+                continue
+            lists = value.values() if isinstance(value, dict) else [value]
+            out += [(own[0], x) for items in lists if isinstance(items, (list, tuple, set)) for x in items if isinstance(x, str)]
+        return out
+
+    found = F.udf(texts, "array<struct<name:string,value:string>>")(F.col("value"))  # a call a file
+    return whole_texts(spark, path).select("path", F.explode(found).alias("c")).select("path", "c.name", "c.value")
 
 
 def embedding_cache(spark: SparkSession, path: str, key: str) -> DataFrame:

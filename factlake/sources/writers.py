@@ -32,6 +32,25 @@ def replace_json(df: DataFrame, path: str) -> None:
         fs.delete(old, True)
 
 
+def pretty_json(df: DataFrame, path: str) -> None:
+    """One indented JSON array of a small, already aggregated result, put in its place by renaming."""
+    import json
+
+    rows = [json.loads(x) for x in df.toJSON().collect()]
+    context = df.sparkSession.sparkContext
+    jvm, here = context._jvm, context._jvm.org.apache.hadoop.fs.Path(path)
+    new = jvm.org.apache.hadoop.fs.Path(f"{path}.new-{uuid.uuid4().hex}")
+    fs = here.getFileSystem(context._jsc.hadoopConfiguration())
+    out = fs.create(new, True)
+    try:
+        out.write(bytearray((json.dumps(rows, ensure_ascii=False, indent=2) + "\n").encode()))
+    finally:
+        out.close()
+    fs.delete(here, False)
+    if not fs.rename(new, here):
+        raise OSError(f"{path} can't be replaced")
+
+
 def csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
 

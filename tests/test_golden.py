@@ -149,14 +149,17 @@ def test_tie_orders(spark):
     assert [r.pos for r in up] == [0, 1, 2] and [r.pos for r in down] == [2, 1, 0]
 
 
-def test_bm25_by_hand(spark):
+def test_bm25_by_hand(spark, tmp_path):
     from math import log
 
+    from factlake.operators.bm25_index import Index
+
     docs = spark.createDataFrame([(1, "red fox"), (2, "red dog runs"), (3, "blue")], "doc_id long, text string")
     q = spark.createDataFrame([(0, "fox fox")], "qid long, query string")
-    (r,) = retrieval.bm25_scores(docs, q).collect()
-    assert r.doc_id == 1 and r.score == pytest.approx(2 * log(2.5 / 1.5) * 2.5 / (1 + 1.5 * (0.25 + 0.75 * 2 / 2)), abs=1e-6)
-    (floor,) = retrieval.bm25_scores(docs, spark.createDataFrame([(0, "red")], "qid long, query string")).where("doc_id = 1").collect()
+    index = Index(spark, str(tmp_path / "index")).append(docs)
+    (r,) = index.all_scores(q).collect()
+    assert r.doc == 1 and r.score == pytest.approx(2 * log(2.5 / 1.5) * 2.5 / (1 + 1.5 * (0.25 + 0.75 * 2 / 2)), abs=1e-6)
+    (floor,) = index.all_scores(spark.createDataFrame([(0, "red")], "qid long, query string")).where("doc = 1").collect()
     mean = (log(1.5 / 2.5) + 4 * log(2.5 / 1.5)) / 5
     assert floor.score == pytest.approx(0.25 * mean * 2.5 / (1 + 1.5 * (0.25 + 0.75)), abs=1e-6)
 
