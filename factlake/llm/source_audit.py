@@ -191,10 +191,12 @@ def audit(df: DataFrame, *, least_docs: int = 10, top_terms: int = 10, text: str
     bounded(df.sparkSession)
     plain = lambda c: F.coalesce(F.col(c), F.lit(""))
     docs = df.select(plain(lang).alias("lang"), plain(source).alias("source"), plain(text).alias("text"))
-    # by word once; what follows needs no other exchange
+    # dealt by word once: both sides read the same columns, so one exchange and one reading of the texts serve both
     dealt = counted(docs).repartition("lang", "term")
-    kept = dealt.groupBy("lang", "term").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= least_docs).select("lang", "term")
-    counts = stored(dealt.groupBy("lang", "term", "source").agg(F.sum("n").alias("n")).join(kept.hint("shuffle_hash"), ["lang", "term"]))
+    kept = dealt.groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.sum("n").alias("__n"), F.max("source").alias("__s"))
+    kept = kept.where((F.col("docs") >= least_docs) & (F.col("__n") > 0) & F.col("__s").isNotNull()).select("lang", "term")
+    counts = dealt.groupBy("lang", "term", "source").agg(F.sum("n").alias("n"), F.sum("docs").alias("__d")).where("__d > 0").drop("__d")
+    counts = stored(counts.join(kept.hint("shuffle_hash"), ["lang", "term"]))
 
     sizes = counts.groupBy("lang", "source").agg(F.sum("n").alias("total"))
     terms = counts.groupBy("lang", "term").agg(F.sum("n").alias("n")).groupBy("lang").agg(F.count("*").alias("kept"), F.sum("n").alias("lang_total"))
