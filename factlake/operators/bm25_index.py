@@ -4,19 +4,19 @@
 
 * ``blocks``: up to ``BLOCK`` postings of a term in one row, best impact first, with the
   block's largest frequency and least length, in folders by a hash of the term;
-* ``forward``: the terms of every document, for exact scores of single candidates;
-* ``terms`` and ``sizes``: documents of each term, documents and tokens. ``sizes`` is written
-  last; a batch without it does not exist.
+* ``sizes``: documents and tokens. It is written last; a batch without it does not exist.
 
 Weights aren't stored: with every batch the statistics of the whole collection change, and
 the bounds with them. ``top_k`` is exact:
 
 1. The blocks of greatest bound give each query its first candidates; the k-th best of
-   their scores is a threshold that no later result may fall below.
-2. Terms whose greatest weights together stay below the threshold find no document by themselves.
-   Of the others, a block is read only if its bound and the other terms' reach the threshold.
-3. A document whose weights found so far, with the most that unread blocks and terms can
-   add, stay below the threshold is dropped; the rest are scored whole.
+   their sums so far is a threshold that no result may fall below.
+2. Terms whose greatest weights together stay below a share of it (``TRAILING``) find no document by
+   themselves. Of the others, a block is read only if its bound and the other terms' reach the threshold.
+3. The sums found so far raise the threshold. A document that stays below it with the most that unread
+   blocks and terms can add is dropped; what the rest have in all blocks is summed.
+
+So what is shuffled are the postings of few documents, not of all that share a word.
 
 If some weight can be negative (a collection so small that the mean idf is), sums have no
 such bounds and every document that shares a term is scored.
@@ -30,7 +30,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from factlake.functions.text import tokens
-from factlake.operators import ranks
 from factlake.operators.layout import settled, shared_folder, spread
 
 K1, B, FLOOR = 1.5, 0.75, 0.25
@@ -38,8 +37,13 @@ K1, B, FLOOR = 1.5, 0.75, 0.25
 STEPS = 1_000_000_000
 #: Postings of a block, and folders that the blocks are dealt to by term.
 BLOCK, FOLDERS = 128, 64
+#: Documents of a batch beyond which a folder's postings are dealt to more tasks.
+SHARE_DOCS = 1 << 20
 #: Blocks that give a query its first threshold.
 FIRST_BLOCKS = 8
+#: The share of the threshold that terms which find nothing by themselves may reach together: the less,
+#: the more postings are read and the fewer documents are left to score.
+TRAILING = 0.3
 #: Query terms of a batch that are sent to every task; more of them are joined by shuffling.
 MOST_TERMS = 200_000
 #: What rounding to six places may hide.
@@ -74,19 +78,21 @@ class Index:
     def append(self, docs: DataFrame, *, doc: str = "doc_id", text: str = "text") -> Index:
         """Adds documents with ids that the index doesn't have yet; earlier batches stay untouched."""
         batch = f"batch=b{len(self.batches()):06d}_{uuid.uuid4().hex[:8]}"
+        n = docs.count()
         own = spread(docs.select(F.col(doc).alias("doc"), text), "doc").select("doc", tokens(F.col(text)).alias("__t")).withColumn("dl", F.size("__t"))
         # words of a document are counted where it lies: they are dealt by document already
         words = own.select("doc", "dl", F.explode("__t").alias("term")).groupBy("term", "doc", "dl").agg(F.count("*").alias("tf"))
-        words = settled(words)
+        # a folder's share of the documents is a task: a term of most documents is many tasks' work
+        keys = ("folder", "share")
+        words = words.withColumn("folder", folder(F.col("term"))).withColumn("share", F.pmod(F.xxhash64("doc"), F.lit(1 + n // SHARE_DOCS))).repartition(*keys)
         impact = F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / 100))
-        dealt = ranks.ranges(words, "term", F.round(impact, 4).desc(), "doc")
-        blocks = dealt.groupBy("term", "__range", F.floor(F.col("__at") / BLOCK).alias("block")).agg(
-            F.count("*").alias("n"), F.max("tf").alias("max_tf"), F.min("dl").alias("min_dl"), F.collect_list(F.struct("doc", "tf", "dl")).alias("postings"))
-        blocks = blocks.withColumn("block", F.xxhash64("term", "__range", "block")).drop("__range")
-        blocks.withColumn("folder", folder(F.col("term"))).repartition("folder").sortWithinPartitions("folder", "term").write.partitionBy("folder").parquet(f"{self.path}/blocks/{batch}")
-        words.groupBy("doc", "dl").agg(F.collect_list(F.struct("term", "tf")).alias("terms")).write.parquet(f"{self.path}/forward/{batch}")
-        words.groupBy("term").agg(F.count("*").alias("df")).write.parquet(f"{self.path}/terms/{batch}")
-        own.agg(F.count("*").alias("docs"), F.coalesce(F.sum("dl"), F.lit(0)).cast("long").alias("tokens")).write.parquet(f"{self.path}/sizes/{batch}")
+        place = F.row_number().over(Window.partitionBy(*keys, "term").orderBy(impact.desc(), "doc")) - 1
+        blocks = words.withColumn("block", F.floor(place / BLOCK)).groupBy(*keys, "term", "block").agg(
+            F.count("*").alias("n"), F.sum("tf").alias("tokens"), F.max("tf").alias("max_tf"), F.min("dl").alias("min_dl"), F.collect_list(F.struct("doc", "tf", "dl")).alias("postings"))
+        blocks = blocks.withColumn("block", F.xxhash64("term", "share", "block")).drop("share")
+        blocks.sortWithinPartitions("folder", "term").write.partitionBy("folder").parquet(f"{self.path}/blocks/{batch}")
+        held = self.spark.read.parquet(f"{self.path}/blocks/{batch}").agg(F.lit(n).cast("long").alias("docs"), F.coalesce(F.sum("tokens"), F.lit(0)).cast("long").alias("tokens"))
+        held.write.parquet(f"{self.path}/sizes/{batch}")
         self.__dict__.pop("_stats", None)
         return self
 
@@ -97,7 +103,7 @@ class Index:
         """Documents, mean length, and the mean idf of the vocabulary."""
         if "_stats" not in self.__dict__:
             docs, total = self.part("sizes").agg(F.sum("docs"), F.sum("tokens")).first()
-            mean = self.part("terms").groupBy("term").agg(F.sum("df").alias("df")).agg(F.avg(raw_idf(F.col("df"), docs))).first()[0]
+            mean = self.part("blocks").groupBy("term").agg(F.sum("n").alias("df")).agg(F.avg(raw_idf(F.col("df"), docs))).first()[0]
             self._stats = (docs, total / max(docs, 1), mean or 0.0)
         return self._stats
 
@@ -105,7 +111,7 @@ class Index:
         """(qid, term, qtf, idf) of the queries' terms that the index has."""
         docs, _, floor = self.stats()
         terms = queries.select(F.col(qid).alias("qid"), F.explode(tokens(F.col(query))).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("qtf"))
-        df = self.part("terms").join(terms.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.sum("df").alias("df"))
+        df = self.part("blocks").select("term", "n").join(terms.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.sum("n").alias("df"))
         raw = raw_idf(F.col("df"), docs)
         return settled(terms.join(df, "term").select("qid", "term", "qtf", F.when(raw < 0, FLOOR * floor).otherwise(raw).alias("idf"), "df"))
 
@@ -115,11 +121,9 @@ class Index:
         return self.part("blocks").where(F.col("folder").isin(folders)).join(F.broadcast(asked) if known <= MOST_TERMS else asked, "term")
 
     def scores(self, pairs: DataFrame, asked: DataFrame) -> DataFrame:
-        """(qid, doc, score) of the given (qid, doc) pairs, from the documents' own terms."""
-        _, mean, _ = self.stats()
-        terms = self.part("forward").join(pairs, "doc").select("qid", "doc", "dl", F.explode("terms").alias("t"))
-        hit = terms.select("qid", "doc", "dl", F.col("t.term").alias("term"), F.col("t.tf").alias("tf")).join(asked, ["qid", "term"])
-        return self._summed(hit, mean)
+        """(qid, doc, score) of the given (qid, doc) pairs: other postings of the queries' terms are left where they lie."""
+        hit = self._opened(self.blocks(asked, asked.count())).join(pairs, ["qid", "doc"], "left_semi")
+        return self._summed(hit, self.stats()[1])
 
     @staticmethod
     def _summed(hit: DataFrame, mean: float) -> DataFrame:
@@ -128,13 +132,11 @@ class Index:
     def all_scores(self, queries: DataFrame, *, qid: str = "qid", query: str = "query") -> DataFrame:
         """(qid, doc, score) of every document that shares a term with the query."""
         asked = self.asked(queries, qid, query)
-        hit = self.blocks(asked, asked.count()).select("qid", "qtf", "idf", F.explode("postings").alias("p")).select("qid", "qtf", "idf", "p.*")
-        return self._summed(hit, self.stats()[1])
+        return self._summed(self._opened(self.blocks(asked, asked.count())), self.stats()[1])
 
-    def candidates(self, queries: DataFrame, k: int, *, qid: str = "qid", query: str = "query") -> tuple[DataFrame, DataFrame]:
+    def candidates(self, asked: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
         """(qid, doc) pairs that hold the k best of every query, and per query the work:
         postings of its terms, postings read, documents left to score."""
-        asked = self.asked(queries, qid, query)
         known, (_, mean, _) = asked.count(), self.stats()
         blocks = self.blocks(asked, known)
         top = F.col("qtf") * weight(F.col("idf"), F.col("max_tf"), F.col("min_dl"), mean)
@@ -144,35 +146,42 @@ class Index:
         heads = settled(blocks.select("qid", "term", "block", "n", top.alias("bound")))  # without the postings themselves
         first = Window.partitionBy("qid").orderBy(F.desc("bound"), "term", "block")
         seeds = heads.withColumn("__r", F.row_number().over(first)).where(F.col("__r") <= max(FIRST_BLOCKS, -(-4 * k // BLOCK))).select("qid", "term", "block")
-        scored = self.scores(self._opened(blocks, seeds).select("qid", "doc").distinct(), asked)
-        # the k-th best; none where fewer documents have been seen
-        best = scored.withColumn("__r", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score")))).where(F.col("__r") == k)
-        least = asked.select("qid").distinct().join(best.select("qid", (F.col("score") - SLACK).alias("least")), "qid", "left").na.fill(-1.0, ["least"])
-        # greatest weight of each term; the least ones together stay below the threshold
+        own = F.col("qtf") * weight(F.col("idf"), F.col("tf"), F.col("dl"), mean)
+        best = Window.partitionBy("qid").orderBy(F.desc("low"))
+
+        def kth(found: DataFrame) -> DataFrame:
+            """(qid, least): the k-th best sum; no row where fewer documents have been seen."""
+            return found.withColumn("__r", F.row_number().over(best)).where(F.col("__r") == k).select("qid", (F.col("low") - SLACK).alias("least"))
+
+        seen = self._opened(blocks.join(seeds, ["qid", "term", "block"])).groupBy("qid", "doc").agg(F.sum(own).alias("low"))
+        least = asked.select("qid").distinct().join(kth(seen), "qid", "left").na.fill(-1.0, ["least"])
+        # greatest weight of each term; the least ones together stay below a share of the threshold
         most = heads.groupBy("qid", "term").agg(F.max("bound").alias("most")).join(least, "qid")
         up = Window.partitionBy("qid").orderBy("most", "term")
         most = most.withColumn("__below", F.sum("most").over(up)).withColumn("__all", F.sum("most").over(Window.partitionBy("qid")))
-        most = settled(most.select("qid", "term", "most", "least", (F.col("__below") >= F.col("least")).alias("leads"), "__all"))
+        most = settled(most.select("qid", "term", "most", "least", (F.col("__below") >= TRAILING * F.col("least")).alias("leads"), "__all"))
         judged = heads.join(most, ["qid", "term"]).withColumn("open", F.col("leads") & (F.col("bound") + F.col("__all") - F.col("most") >= F.col("least")))
         # the most that what isn't read can add: of a leading term its best unread block, of another its greatest weight
         rest = judged.groupBy("qid", "term").agg(F.max(F.when(~F.col("open"), F.col("bound")).otherwise(0.0)).alias("rest"))
         rest = rest.join(most.select("qid", "term", "leads"), ["qid", "term"]).withColumn("__sum", F.sum("rest").over(Window.partitionBy("qid")))
-        read = self._opened(blocks, judged.where("open").select("qid", "term", "block")).join(rest.select("qid", "term", "rest"), ["qid", "term"])
-        found = read.groupBy("qid", "doc").agg(F.sum(F.col("qtf") * weight(F.col("idf"), F.col("tf"), F.col("dl"), mean) - F.col("rest")).alias("own"))
-        limits = rest.groupBy("qid").agg(F.first("__sum").alias("__sum")).join(least, "qid")
-        left = settled(found.join(limits, "qid").where(F.col("own") + F.col("__sum") >= F.col("least") - SLACK).select("qid", "doc"))
+        read = self._opened(blocks.join(judged.where("open").select("qid", "term", "block"), ["qid", "term", "block"])).join(rest.select("qid", "term", "rest"), ["qid", "term"])
+        found = settled(read.groupBy("qid", "doc").agg(F.sum(own).alias("low"), F.sum(own - F.col("rest")).alias("own")))
+        limits = rest.groupBy("qid").agg(F.first("__sum").alias("__sum")).join(least.withColumnRenamed("least", "__first"), "qid").join(kth(found), "qid", "left")
+        left = found.join(limits, "qid").where(F.col("own") + F.col("__sum") >= F.greatest("least", "__first") - SLACK)
+        left = settled(left.select("qid", "doc"))
         work = judged.groupBy("qid").agg(F.sum("n").alias("postings"), F.sum(F.when(F.col("open"), F.col("n")).otherwise(0)).alias("read"))
         return left, work.join(left.groupBy("qid").agg(F.count("*").alias("scored")), "qid", "left")
 
     @staticmethod
-    def _opened(blocks: DataFrame, chosen: DataFrame) -> DataFrame:
-        """Postings of the chosen (qid, term, block)s."""
-        return blocks.join(chosen, ["qid", "term", "block"]).select("qid", "term", "qtf", "idf", F.explode("postings").alias("p")).select("qid", "term", "qtf", "idf", "p.*")
+    def _opened(blocks: DataFrame) -> DataFrame:
+        """The postings of blocks, one a row."""
+        return blocks.select("qid", "term", "qtf", "idf", F.explode("postings").alias("p")).select("qid", "term", "qtf", "idf", "p.*")
 
     def top_k(self, queries: DataFrame, k: int, *, tie: Column | None = None, qid: str = "qid", query: str = "query") -> DataFrame:
         """(qid, doc, score, rank) of the k best documents of each query; ties by ``tie``, else the smaller id."""
-        pairs, _ = self.candidates(queries, k, qid=qid, query=query)
-        scored = self.scores(pairs, self.asked(queries, qid, query))
+        asked = self.asked(queries, qid, query)
+        pairs, _ = self.candidates(asked, k)
+        scored = self.scores(pairs, asked)
         place = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), F.asc("doc") if tie is None else tie))
         return scored.withColumn("rank", place.cast("long")).where(F.col("rank") <= k)
 

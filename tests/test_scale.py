@@ -151,7 +151,7 @@ def test_index_is_kept_appended_to_and_pruned(spark, tmp_path):
     for r in again.top_k(q, 3, tie=F.desc("doc")).orderBy("qid", "rank").collect():
         last.setdefault(r.qid, []).append(r.doc)
     assert last[10] == [d for d, _ in sorted(brute_bm25(docs, queries[10], 900), key=lambda x: (-x[1], -x[0]))[:3]]
-    left, work = index.candidates(q, 10)
+    left, work = again.candidates(again.asked(q, "qid", "query"), 10)
     w = {r.qid: (r.postings, r.read, r.scored) for r in work.collect()}
     shared = again.all_scores(q).groupBy("qid").count().rdd.collectAsMap()
     assert sum(s for *_, s in w.values()) < 0.5 * sum(shared.values())  # documents scored, of those that share a word
