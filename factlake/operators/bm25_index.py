@@ -89,7 +89,7 @@ class Index:
         place = F.row_number().over(Window.partitionBy(*keys, "term").orderBy(impact.desc(), "doc")) - 1
         blocks = words.withColumn("block", F.floor(place / BLOCK)).groupBy(*keys, "term", "block").agg(
             F.count("*").alias("n"), F.sum("tf").alias("tokens"), F.max("tf").alias("max_tf"), F.min("dl").alias("min_dl"), F.collect_list(F.struct("doc", "tf", "dl")).alias("postings"))
-        blocks = blocks.withColumn("block", F.xxhash64("term", "share", "block")).drop("share")
+        blocks = blocks.withColumn("block", F.xxhash64(F.lit(batch), "term", "share", "block")).drop("share")
         blocks.sortWithinPartitions("folder", "term").write.partitionBy("folder").parquet(f"{self.path}/blocks/{batch}")
         held = self.spark.read.parquet(f"{self.path}/blocks/{batch}").agg(F.lit(n).cast("long").alias("docs"), F.coalesce(F.sum("tokens"), F.lit(0)).cast("long").alias("tokens"))
         held.write.parquet(f"{self.path}/sizes/{batch}")
