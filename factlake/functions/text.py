@@ -52,7 +52,6 @@ SPEAKS = r"^(.+?)\s+speaks the language of\s+(.+)$"
 EXPLICIT = rf"^(.+?)\s+(?:{PREDICATES})\s+(.+)$"
 FALLBACK = r"^(.+?)\s+(was|is|has|had)\s+(.+?)\s+(?:of|in|by|from|at|to)\s+(.+)$"
 FLAGS = "(?i)(?d)"
-PAST_RELATION = ("correct", "true", "yes")
 NUMBER_WORDS = {w: i for i, w in enumerate("zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty".split())}
 
 
