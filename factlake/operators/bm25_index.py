@@ -115,15 +115,23 @@ class Index:
         raw = raw_idf(F.col("df"), docs)
         return settled(terms.join(df, "term").select("qid", "term", "qtf", F.when(raw < 0, FLOOR * floor).otherwise(raw).alias("idf"), "df"))
 
-    def blocks(self, asked: DataFrame, known: int) -> DataFrame:
-        """The blocks of the terms asked for, beside (qid, qtf, idf); other folders aren't read."""
+    def blocks(self, asked: DataFrame) -> DataFrame:
+        """The blocks of the terms asked for, each once; other folders aren't read."""
+        terms = asked.select("term").distinct()
         folders = [r[0] for r in asked.select(folder(F.col("term")).alias("f")).distinct().collect()]  # FOLDERS at most
-        return self.part("blocks").where(F.col("folder").isin(folders)).join(F.broadcast(asked) if known <= MOST_TERMS else asked, "term")
+        few = terms.count() <= MOST_TERMS
+        return self.part("blocks").where(F.col("folder").isin(folders)).join(F.broadcast(terms) if few else terms, "term", "left_semi")
+
+    @staticmethod
+    def _postings(blocks: DataFrame) -> DataFrame:
+        """The postings of blocks, one a row."""
+        keep = [c for c in blocks.columns if c not in ("postings", "n", "tokens", "max_tf", "min_dl", "folder")]
+        return blocks.select(*keep, F.explode("postings").alias("p")).select(*keep, "p.*")
 
     def scores(self, pairs: DataFrame, asked: DataFrame) -> DataFrame:
-        """(qid, doc, score) of the given (qid, doc) pairs: other postings of the queries' terms are left where they lie."""
-        hit = self._opened(self.blocks(asked, asked.count())).join(pairs, ["qid", "doc"], "left_semi")
-        return self._summed(hit, self.stats()[1])
+        """(qid, doc, score) of the given (qid, doc) pairs: their terms are looked up among the postings of the terms asked for."""
+        wanted = pairs.join(asked.select("qid", "term", "qtf", "idf"), "qid")
+        return self._summed(self._postings(self.blocks(asked)).select("term", "doc", "tf", "dl").join(wanted, ["term", "doc"]), self.stats()[1])
 
     @staticmethod
     def _summed(hit: DataFrame, mean: float) -> DataFrame:
@@ -132,51 +140,56 @@ class Index:
     def all_scores(self, queries: DataFrame, *, qid: str = "qid", query: str = "query") -> DataFrame:
         """(qid, doc, score) of every document that shares a term with the query."""
         asked = self.asked(queries, qid, query)
-        return self._summed(self._opened(self.blocks(asked, asked.count())), self.stats()[1])
+        own = F.broadcast(asked) if asked.count() <= MOST_TERMS else asked
+        return self._summed(self._postings(self.blocks(asked)).select("term", "doc", "tf", "dl").join(own, "term"), self.stats()[1])
 
     def candidates(self, asked: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
         """(qid, doc) pairs that hold the k best of every query, and per query the work:
         postings of its terms, postings read, documents left to score."""
-        known, (_, mean, _) = asked.count(), self.stats()
-        blocks = self.blocks(asked, known)
-        top = F.col("qtf") * weight(F.col("idf"), F.col("max_tf"), F.col("min_dl"), mean)
+        mean, blocks = self.stats()[1], self.blocks(asked)
         if asked.where("idf < 0").count():
-            pairs = blocks.select("qid", F.explode("postings.doc").alias("doc")).distinct()
-            return pairs, blocks.groupBy("qid").agg(F.sum("n").alias("postings"), F.sum("n").alias("read"))
-        heads = settled(blocks.select("qid", "term", "block", "n", top.alias("bound")))  # without the postings themselves
-        first = Window.partitionBy("qid").orderBy(F.desc("bound"), "term", "block")
-        seeds = heads.withColumn("__r", F.row_number().over(first)).where(F.col("__r") <= max(FIRST_BLOCKS, -(-4 * k // BLOCK))).select("qid", "term", "block")
-        own = F.col("qtf") * weight(F.col("idf"), F.col("tf"), F.col("dl"), mean)
-        best = Window.partitionBy("qid").orderBy(F.desc("low"))
+            pairs = self._postings(blocks).select("term", "doc").join(asked, "term").select("qid", "doc").distinct()
+            n = asked.groupBy("qid").agg(F.sum("df").alias("postings"))
+            return pairs, n.withColumn("read", F.col("postings")).join(pairs.groupBy("qid").agg(F.count("*").alias("scored")), "qid", "left")
+        # heads: blocks without their postings, once a term however many queries ask for it
+        unit = weight(F.lit(1.0), F.col("max_tf"), F.col("min_dl"), mean)
+        heads = settled(blocks.select("term", "block", "n", unit.alias("unit")))
+        bound = F.col("qtf") * F.col("idf") * F.col("unit")
 
         def kth(found: DataFrame) -> DataFrame:
             """(qid, least): the k-th best sum; no row where fewer documents have been seen."""
+            best = Window.partitionBy("qid").orderBy(F.desc("low"))
             return found.withColumn("__r", F.row_number().over(best)).where(F.col("__r") == k).select("qid", (F.col("low") - SLACK).alias("least"))
 
-        seen = self._opened(blocks.join(seeds, ["qid", "term", "block"])).groupBy("qid", "doc").agg(F.sum(own).alias("low"))
+        def opened(chosen: DataFrame) -> DataFrame:
+            """Postings of the chosen (qid, term, block)s, with their weights."""
+            rows = self._postings(blocks.join(chosen, ["term", "block"]))
+            return rows.withColumn("own", F.col("qtf") * weight(F.col("idf"), F.col("tf"), F.col("dl"), mean))
+
+        first = max(FIRST_BLOCKS, -(-4 * k // BLOCK))
+        of_term, of_query = Window.partitionBy("term").orderBy(F.desc("unit"), "block"), Window.partitionBy("qid").orderBy(F.desc("bound"), "term", "block")
+        ahead = heads.withColumn("__r", F.row_number().over(of_term)).where(F.col("__r") <= first).drop("__r").join(asked, "term").withColumn("bound", bound)
+        seeds = ahead.withColumn("__r", F.row_number().over(of_query)).where(F.col("__r") <= first).select("qid", "term", "block", "qtf", "idf")
+        seen = opened(seeds).groupBy("qid", "doc").agg(F.sum("own").alias("low"))
         least = asked.select("qid").distinct().join(kth(seen), "qid", "left").na.fill(-1.0, ["least"])
         # greatest weight of each term; the least ones together stay below a share of the threshold
-        most = heads.groupBy("qid", "term").agg(F.max("bound").alias("most")).join(least, "qid")
+        most = asked.join(heads.groupBy("term").agg(F.max("unit").alias("unit")), "term").withColumn("most", bound).join(least, "qid")
         up = Window.partitionBy("qid").orderBy("most", "term")
         most = most.withColumn("__below", F.sum("most").over(up)).withColumn("__all", F.sum("most").over(Window.partitionBy("qid")))
-        most = settled(most.select("qid", "term", "most", "least", (F.col("__below") >= TRAILING * F.col("least")).alias("leads"), "__all"))
-        judged = heads.join(most, ["qid", "term"]).withColumn("open", F.col("leads") & (F.col("bound") + F.col("__all") - F.col("most") >= F.col("least")))
+        most = settled(most.select("qid", "term", "qtf", "idf", "df", "most", "least", (F.col("__below") >= TRAILING * F.col("least")).alias("leads"), "__all"))
+        judged = heads.join(most.where("leads"), "term").withColumn("bound", bound)
+        judged = settled(judged.withColumn("open", F.col("bound") + F.col("__all") - F.col("most") >= F.col("least")))
         # the most that what isn't read can add: of a leading term its best unread block, of another its greatest weight
-        rest = judged.groupBy("qid", "term").agg(F.max(F.when(~F.col("open"), F.col("bound")).otherwise(0.0)).alias("rest"))
-        rest = rest.join(most.select("qid", "term", "leads"), ["qid", "term"]).withColumn("__sum", F.sum("rest").over(Window.partitionBy("qid")))
-        read = self._opened(blocks.join(judged.where("open").select("qid", "term", "block"), ["qid", "term", "block"])).join(rest.select("qid", "term", "rest"), ["qid", "term"])
-        found = settled(read.groupBy("qid", "doc").agg(F.sum(own).alias("low"), F.sum(own - F.col("rest")).alias("own")))
-        limits = rest.groupBy("qid").agg(F.first("__sum").alias("__sum")).join(least.withColumnRenamed("least", "__first"), "qid").join(kth(found), "qid", "left")
-        left = found.join(limits, "qid").where(F.col("own") + F.col("__sum") >= F.greatest("least", "__first") - SLACK)
+        unread = judged.groupBy("qid", "term").agg(F.max(F.when(~F.col("open"), F.col("bound")).otherwise(0.0)).alias("unread"))
+        rest = most.select("qid", "term", "most").join(unread, ["qid", "term"], "left").select("qid", "term", F.coalesce("unread", "most").alias("rest"))
+        read = opened(judged.where("open").select("qid", "term", "block", "qtf", "idf")).join(rest, ["qid", "term"])
+        found = settled(read.groupBy("qid", "doc").agg(F.sum("own").alias("low"), F.sum(F.col("own") - F.col("rest")).alias("high")))
+        limits = rest.groupBy("qid").agg(F.sum("rest").alias("__rest")).join(least.withColumnRenamed("least", "__first"), "qid").join(kth(found), "qid", "left")
+        left = found.join(limits, "qid").where(F.col("high") + F.col("__rest") >= F.greatest("least", "__first") - SLACK)
         left = settled(left.select("qid", "doc"))
-        work = judged.groupBy("qid").agg(F.sum("n").alias("postings"), F.sum(F.when(F.col("open"), F.col("n")).otherwise(0)).alias("read"))
+        work = asked.groupBy("qid").agg(F.sum("df").alias("postings")).join(judged.where("open").groupBy("qid").agg(F.sum("n").alias("read")), "qid", "left")
         return left, work.join(left.groupBy("qid").agg(F.count("*").alias("scored")), "qid", "left")
 
-    @staticmethod
-    def _opened(blocks: DataFrame) -> DataFrame:
-        """The postings of blocks, one a row."""
-        return blocks.select("qid", "term", "qtf", "idf", F.explode("postings").alias("p")).select("qid", "term", "qtf", "idf", "p.*")
-
     def top_k(self, queries: DataFrame, k: int, *, tie: Column | None = None, qid: str = "qid", query: str = "query") -> DataFrame:
         """(qid, doc, score, rank) of the k best documents of each query; ties by ``tie``, else the smaller id."""
         asked = self.asked(queries, qid, query)

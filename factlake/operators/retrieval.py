@@ -44,8 +44,8 @@ def containing(index: Index, docs: DataFrame, passages: DataFrame, *, doc: str =
     inner = passages.select(F.col(qid).alias("qid"), F.col(query).alias("__passage"), tokens(F.col(query)).alias("__t")).where("size(__t) >= 3")
     words = inner.select("qid", F.explode(F.slice("__t", F.lit(2), F.size("__t") - 2)).alias("term")).distinct()
     asked = index.asked(passages, qid, query).join(words, ["qid", "term"])
-    rarest = settled(asked.groupBy("qid").agg(F.min(F.struct("df", "term")).alias("w")).select("qid", "w.term", F.lit(1).alias("qtf"), F.lit(0.0).alias("idf")))
-    have = index.blocks(rarest, rarest.count()).select("qid", F.explode("postings.doc").alias(doc))
+    rarest = settled(asked.groupBy("qid").agg(F.min(F.struct("df", "term")).alias("w")).select("qid", "w.term"))
+    have = index.blocks(rarest).select("term", F.explode("postings.doc").alias(doc)).join(rarest, "term").select("qid", doc)
     near = have.join(inner.select("qid", "__passage"), "qid").join(docs.select(doc, F.col(text).alias("__text")), doc)
     return near.where(F.col("__text").contains(F.col("__passage"))).select("qid", doc)
 

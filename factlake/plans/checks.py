@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factlake.operators import checks, manifest, symbolic, trace
+from factlake.operators import checks, estimate, manifest, symbolic, trace
 from factlake.operators.layout import settled
 from factlake.plans import answering
 from factlake.plans.registry import ORACLES, query
@@ -138,3 +138,11 @@ def trace_plan_execute(v: View) -> DataFrame:
     status = F.col("status")
     run.step(r, "answers", answered=status == "answered", abstained=status != "answered", complete=F.col("complete")).write.format("noop").mode("overwrite").save()
     return run.rows().drop("run")
+
+
+@query()
+def prompt_tokens(v: View) -> DataFrame:
+    """Estimated prompt tokens of every conversation; byte pairs have no SQL, the test counts them one by one."""
+    import public_tokenizers
+
+    return estimate.prompt_tokens(v.table("conversations"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)

@@ -141,3 +141,23 @@ def test_router_with_examples(spark):
     p = spark.createDataFrame([("a", 0, [2.0, 0.0]), ("b", 1, [0.0, 1.0]), ("a", 0, [0.0, -1.0])], "route string, route_order int, vec array<double>")
     assert {r.vec_id: (r.route, r.score) for r in routing.native(v, p).collect()} == {1: ("a", 1.0), 2: ("a", 0.0), 3: ("b", 0.894427)}
     assert {r.vec_id: r.near for r in routing.nearest_by_route(v, p, "vec_id").collect()}[3] == {"a": -0.447214, "b": 0.894427}
+
+
+def test_prompt_tokens_one_by_one(spark):
+    public = pytest.importorskip("public_tokenizers")
+    import base64
+
+    import tiktoken
+
+    with open(public.path("byte_bpe_50k.tiktoken"), "rb") as f:
+        table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    enc = tiktoken.Encoding("own", pat_str=public.PATTERN, mergeable_ranks=table, special_tokens={})
+    rows = [(1, 0, "user", "Hello there, é漢 <|endoftext|>"), (1, 1, "assistant", None), (2, 0, None, ""), (None, 0, "user", "x" * 3000)]
+    from factlake.operators import estimate
+
+    got = {r.conv_id: (r.n_messages, r.n_tokens) for r in estimate.prompt_tokens(spark.createDataFrame(rows, "conv_id long, turn int, role string, text string"), public.path("byte_bpe_50k.tiktoken"), public.PATTERN).collect()}
+    want = {}
+    for c, _, role, text in rows:
+        n, t = want.get(c, (0, 3))
+        want[c] = (n + 1, t + 4 + len(enc.encode_ordinary(role or "")) + len(enc.encode_ordinary(text or "")))
+    assert got == want
