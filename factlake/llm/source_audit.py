@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from factlake.llm.common import bounded, slices, stored
+from factlake.llm.common import bounded, dealt_join, slices, stored
 
 #: Steps of a share.
 STEPS = 1_000_000_000
@@ -217,8 +217,10 @@ def audit(df: DataFrame, *, least_docs: int = 10, top_terms: int = 10, text: str
     # pairs of sources, block by block
     width = (F.floor((F.col("sources") - 1) / sources) + 1).cast("int")
     shares = F.greatest(F.lit(1), F.ceil(F.col("classes") / class_share)).cast("int")
-    plan = langs.join(classes.groupBy("lang").agg(F.count("*").alias("classes")), "lang", "left").select("lang", width.alias("width"), F.coalesce(shares, F.lit(1)).alias("shares"))
-    shared = entries.groupBy("lang", "c", "m").agg(F.collect_list(F.struct("s", "p")).alias("v")).join(plan, "lang")
+    plan = langs.join(classes.groupBy("lang").agg(F.count("*").alias("classes")), "lang", "left")
+    plan = stored(plan.select("lang", F.coalesce("classes", F.lit(0)).alias("classes"), width.alias("width"), F.coalesce(shares, F.lit(1)).alias("shares")))
+    shared = entries.groupBy("lang", "c", "m").agg(F.collect_list(F.struct("s", "p")).alias("v"))
+    shared = dealt_join(shared, plan, ["lang"], "classes", classes.count(), ("c",))  # a language may have most of the classes
     shared = shared.withColumn("share", F.pmod(F.xxhash64("c"), F.col("shares")).cast("int"))
     blocks = F.expr("transform(sequence(0, width - 1), i -> filter(v, e -> e.s div %d = i))" % sources)
     tiles = "filter(flatten(transform(sequence(0, width - 1), i -> transform(sequence(i, width - 1), j -> named_struct('i', i, 'j', j)))), t -> size(v[t.i]) > 0 or size(v[t.j]) > 0)"
