@@ -46,6 +46,8 @@ FIRST_BLOCKS = 8
 TRAILING = 0.3
 #: Query terms of a batch that are sent to every task; more of them are joined by shuffling.
 MOST_TERMS = 200_000
+#: Postings of a batch's terms up to which all are summed: bounds take passes of their own, which cost more than that.
+PLAIN_POSTINGS = 100_000_000
 #: What rounding to six places may hide.
 SLACK = 2e-6
 
@@ -139,7 +141,9 @@ class Index:
 
     def all_scores(self, queries: DataFrame, *, qid: str = "qid", query: str = "query") -> DataFrame:
         """(qid, doc, score) of every document that shares a term with the query."""
-        asked = self.asked(queries, qid, query)
+        return self._every(self.asked(queries, qid, query))
+
+    def _every(self, asked: DataFrame) -> DataFrame:
         own = F.broadcast(asked) if asked.count() <= MOST_TERMS else asked
         return self._summed(self._postings(self.blocks(asked)).select("term", "doc", "tf", "dl").join(own, "term"), self.stats()[1])
 
@@ -190,11 +194,16 @@ class Index:
         work = asked.groupBy("qid").agg(F.sum("df").alias("postings")).join(judged.where("open").groupBy("qid").agg(F.sum("n").alias("read")), "qid", "left")
         return left, work.join(left.groupBy("qid").agg(F.count("*").alias("scored")), "qid", "left")
 
-    def top_k(self, queries: DataFrame, k: int, *, tie: Column | None = None, qid: str = "qid", query: str = "query") -> DataFrame:
-        """(qid, doc, score, rank) of the k best documents of each query; ties by ``tie``, else the smaller id."""
+    def top_k(self, queries: DataFrame, k: int, *, tie: Column | None = None, qid: str = "qid", query: str = "query", plain_postings: int = PLAIN_POSTINGS) -> DataFrame:
+        """(qid, doc, score, rank) of the k best documents of each query; ties by ``tie``, else the smaller id.
+
+        Batches whose terms have more than ``plain_postings`` postings, counted once a query, are searched under bounds.
+        """
         asked = self.asked(queries, qid, query)
-        pairs, _ = self.candidates(asked, k)
-        scored = self.scores(pairs, asked)
+        if (asked.agg(F.sum("df")).first()[0] or 0) <= plain_postings:
+            scored = self._every(asked)
+        else:
+            scored = self.scores(self.candidates(asked, k)[0], asked)
         place = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), F.asc("doc") if tie is None else tie))
         return scored.withColumn("rank", place.cast("long")).where(F.col("rank") <= k)
 

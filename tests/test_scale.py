@@ -141,14 +141,15 @@ def test_index_is_kept_appended_to_and_pruned(spark, tmp_path):
     again = Index(spark, path)  # opened anew
     assert len(again.batches()) == 2
     got = {}
-    for r in again.top_k(q, 10).orderBy("qid", "rank").collect():
+    for r in again.top_k(q, 10, plain_postings=0).orderBy("qid", "rank").collect():
         got.setdefault(r.qid, []).append((r.doc, r.score))
     want = {i: brute_bm25(docs, t, 10) for i, t in queries.items()}
     for i in queries:
         assert [d for d, _ in got.get(i, [])] == [d for d, _ in want[i]], i
         assert np.allclose([s for _, s in got.get(i, [])], [s for _, s in want[i]], atol=2e-6)
+    assert sorted(map(tuple, again.top_k(q, 10).collect())) == sorted((i, d, s, n) for i, own in got.items() for n, (d, s) in enumerate(own, 1))
     last = {}
-    for r in again.top_k(q, 3, tie=F.desc("doc")).orderBy("qid", "rank").collect():
+    for r in again.top_k(q, 3, tie=F.desc("doc"), plain_postings=0).orderBy("qid", "rank").collect():
         last.setdefault(r.qid, []).append(r.doc)
     assert last[10] == [d for d, _ in sorted(brute_bm25(docs, queries[10], 900), key=lambda x: (-x[1], -x[0]))[:3]]
     left, work = again.candidates(again.asked(q, "qid", "query"), 10)
